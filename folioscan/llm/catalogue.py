@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, spans, split
+from . import leaks, neighbours, spans, split
 
-MODULES = (split, leaks, spans)
+MODULES = (split, neighbours, leaks, spans)
 
 
 def queries() -> dict:
