@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, neighbours, spans, split
+from . import leaks, nearcopies, neighbours, spans, split
 
-MODULES = (split, neighbours, leaks, spans)
+MODULES = (nearcopies, split, neighbours, leaks, spans)
 
 
 def queries() -> dict:
