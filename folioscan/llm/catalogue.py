@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, nearcopies, neighbours, spans, split
+from . import leaks, lookalikes, nearcopies, neighbours, spans, split
 
-MODULES = (nearcopies, split, neighbours, leaks, spans)
+MODULES = (nearcopies, split, neighbours, lookalikes, leaks, spans)
 
 
 def queries() -> dict:
