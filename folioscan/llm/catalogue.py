@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, lookalikes, nearcopies, neighbours, spans, split
+from . import garbled, leaks, lookalikes, nearcopies, neighbours, spans, split
 
-MODULES = (nearcopies, split, neighbours, lookalikes, leaks, spans)
+MODULES = (nearcopies, garbled, split, neighbours, lookalikes, leaks, spans)
 
 
 def queries() -> dict:
