@@ -6,8 +6,9 @@ texts of two documents hold it. Each document is then factored against the index
 block and the hash of the whole window, in another document; where that ends is the factor's boundary, checked at every position there. Factors of
 at least SPAN characters are the spans; adjoining or overlapping ones are one run.
 
-Only block hashes and, around indexed blocks, window hashes are shuffled (16 to 20 bytes each), never pairs of documents: a block that a third of all
-texts hold is pre-aggregated to its least and greatest document on the map side.
+Only block hashes and, around indexed blocks, window hashes are shuffled (16 to 20 bytes each, once), never pairs of documents. Which of them two
+documents hold is told in one pass over sorted rows, with one row of state and no more held back than one document's repetitions of one hash, so a
+block that a third of all texts hold is read like any other; each of its windows is a hash, and a place, of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import points as P
 from .tables import cut, prune, read, spread
 
-SPAN, BLOCK = 300, 60
+SPAN, BLOCK = 300, 200
 
 
 def blocks(cp: np.ndarray, off: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,10 +48,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
                 row, h = distinct(row, h)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(h.view(np.int64))], ["_key", "_block"])
 
-    held = cut(spread(texts).mapInArrow(index, f"_key {kind}, _block long"))
-    indexed = held.groupBy("_block").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").select("_block")
-    wanted = held.join(indexed, "_block", "left_semi").groupBy("_key").agg(F.collect_set("_block").alias("_blocks"))
-    wanted = cut(wanted)
+    held = spread(texts).mapInArrow(index, f"_key {kind}, _block long")
+    wanted = cut(in_two(held, "_block", "_key").groupBy("_key").agg(F.collect_set("_block").alias("_blocks")))
 
     def windows(batches):
         for batch in batches:
@@ -70,9 +69,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
     rest = prune(texts, wanted, "_key").join(wanted, "_key").select("_key", "_text", "_blocks")
     every = rest.mapInArrow(windows, f"_key {kind}, _start int, _hash long")
-    every = cut(every)
-    twice = every.groupBy("_hash").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").select("_hash")
-    starts = every.join(twice, "_hash", "left_semi").select("_key", "_start").distinct()
+    starts = in_two(every, "_hash", "_key").select("_key", "_start")
     factors = starts.groupBy("_key").agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
 
     def runs(batches):
@@ -91,6 +88,40 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
     return factors.mapInArrow(runs, f"{key} {kind}, span_start int, span_end int")
 
 
+def in_two(df: DataFrame, group: str, key: str) -> DataFrame:
+    """The rows of df whose group has two or more keys: one shuffle, then one pass over the rows sorted by group and key."""
+
+    def flag(batches):
+        held: list[pa.RecordBatch] = []  # rows of the last group while it has one key only
+        state = None  # group and its first key; the key is dropped when the group is known to have two
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            g, k = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (group, key))
+            begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            end = np.r_[begin[1:], n]
+            multi = k[begin] != k[end - 1]
+            if state is not None and state[0] == g[0]:
+                multi[0] |= state[2] or state[1] != k[0]
+                first = state[1]
+                if multi[0]:
+                    yield from held
+                    held = []
+            else:
+                held, first = [], k[0]
+            keep = np.repeat(multi, end - begin)
+            if len(begin) > 1:
+                held, first = [], k[begin[-1]]
+            if not multi[-1]:
+                held.append(batch.slice(begin[-1]))
+            state = (g[-1], first, bool(multi[-1]))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return df.repartition(group).sortWithinPartitions(group, key).mapInArrow(flag, df.schema)
+
+
 def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) pairs; rows are ascending and equal hashes mostly adjoin."""
     new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
