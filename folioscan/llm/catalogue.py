@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import garbled, leaks, lookalikes, nearcopies, neighbours, scans, spans, split
+from . import garbled, leaks, lookalikes, mixing, nearcopies, neighbours, scans, spans, split
 
-MODULES = (nearcopies, garbled, split, neighbours, scans, lookalikes, leaks, spans)
+MODULES = (nearcopies, garbled, split, neighbours, scans, lookalikes, leaks, mixing, spans)
 
 
 def queries() -> dict:
