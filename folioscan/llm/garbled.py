@@ -54,6 +54,7 @@ GRAMS = (2, 3, 4, 6)
 #: Forms of one pass over the documents.
 FORM_BLOCK = 2_000_000
 LOST = 0xFFFD
+WIDE = re.compile("[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 
 
 def write(text: str, encoding: str) -> bytes:
@@ -125,7 +126,7 @@ def tokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(token, n): the counts of words, runs and ideograph pairs over all texts."""
+    """(token, n): the counts of words, runs, ideographs and pairs of them over all texts."""
 
     def count(batches):
         pairs: dict[int, int] = {}
@@ -137,7 +138,8 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 first[off] = True
                 two = np.flatnonzero(wide[:-1] & wide[1:] & ~first[1:-1]) if len(cp) > 1 else np.zeros(0, np.int64)
                 key, n = np.unique(cp[two].astype(np.int64) << 21 | cp[two + 1].astype(np.int64), return_counts=True)
-                for k, c in zip(key.tolist(), n.tolist()):
+                one, times = np.unique(cp[wide], return_counts=True)
+                for k, c in zip([*key.tolist(), *one.tolist()], [*n.tolist(), *times.tolist()]):
                     pairs[k] = pairs.get(k, 0) + c
                 s, e = tokens(cp, off)
                 _, at, n = np.unique(P.spans(P.prefix(cp), s, e), return_index=True, return_counts=True)
@@ -153,7 +155,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def batch_of(pairs: dict[int, int], words: dict[str, int]) -> pa.RecordBatch:
-    names = [chr(k >> 21) + chr(k & 0x1FFFFF) for k in pairs] + list(words)
+    names = [(chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF) for k in pairs] + list(words)
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*pairs.values(), *words.values()], pa.int64())], ["token", "n"])
 
 
@@ -164,20 +166,32 @@ def forms(words: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if "�" in token:
+                if "�" in token or len(token) == 1 and WIDE.match(token):
                     continue
+                gram = bool(WIDE.match(token))
                 for i, chain in enumerate(CHAINS):
                     form = garble(token, chain)
                     # a form of one character is no evidence, nor is one of ASCII; with a lost character it is found by that
                     if form and form != token and len(form) > 1 and not form.isascii():
-                        out.append((form, token, i, n))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["form", "original", "chain", "n"])
+                        out.append((form, token, i, n, gram))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()))], ["form", "original", "chain", "n", "gram"])
 
-    made = words.where(F.col("n") >= CLEAN).repartition("token").mapInArrow(make, "form string, original string, chain int, n long")
-    best = made.groupBy("form").agg(F.max(F.struct("n", (-F.col("chain")).alias("c"), "original")).alias("x"))
-    best = best.select("form", F.col("x.original").alias("original"), (-F.col("x.c")).alias("chain"), F.col("x.n").alias("n"))
-    known = words.select(F.col("token").alias("form"), F.col("n").alias("own"))
-    return best.join(known, "form", "left").where(F.coalesce("own", F.lit(0)) <= USUAL * F.col("n")).select("form", "original", "chain")
+    made = words.where(F.col("n") >= CLEAN).repartition("token").mapInArrow(make, "form string, original string, chain int, n long, gram boolean")
+    best = made.groupBy("form", "gram").agg(F.max(F.struct("n", (-F.col("chain")).alias("c"), "original")).alias("x"))
+    best = best.select("form", "gram", F.col("x.original").alias("original"), (-F.col("x.c")).alias("chain"), F.col("x.n").alias("n"))
+    # a form is usual if it, a pair of ideographs in it or a lone ideograph in it is: else garbled words that are counted as clean would turn clean
+    # text into forms
+    wide = r"[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length("form") - 1), lambda i: F.substring(F.col("form"), i, F.lit(2))), lambda p: p.rlike(wide + "{2}"))
+    lone = F.regexp_extract_all("form", F.lit(f"(?<!{wide})({wide})(?!{wide})"), F.lit(1))
+    parts = best.select("form", "gram", "original", "chain", "n", F.explode(F.array_distinct(F.concat(F.array("form"), pairs, lone))).alias("token"))
+    own = parts.join(words.withColumnRenamed("n", "own"), "token", "left").groupBy("form", "gram", "original", "chain", "n").agg(F.max(F.coalesce("own", F.lit(0))).alias("own"))
+    return own.where(F.col("own") <= USUAL * F.col("n")).select("form", "original", "chain", "gram")
+
+
+def kinded(h: np.ndarray, gram) -> np.ndarray:
+    """Forms of words match whole words and runs, forms of ideographs any place of their length: two kinds of hashes."""
+    return P.mix(h ^ np.where(gram, np.uint64(1), np.uint64(0)))
 
 
 class Table:
@@ -188,6 +202,8 @@ class Table:
         parts = [(P.spans(P.prefix(cp), off[:-1], off[1:]), np.diff(off)) for _, _, cp, off in P.chunks(text)]
         h = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.uint64)
         size = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, np.int64)
+        gram = np.array([bool(r[3]) for r in rows], bool)
+        h = kinded(h, gram)
         o = np.argsort(h, kind="stable")
         self.hash, self.size = h[o], size[o]
         self.chain = np.array([r[2] for r in rows], np.int16)[o] if rows else np.zeros(0, np.int16)
@@ -208,7 +224,7 @@ class Table:
         """(start, end, chain) of the garbled tokens; -1 as chain of lost characters."""
         sums = P.prefix(cp)
         s, e = tokens(cp, off)
-        slot = self.find(P.spans(sums, s, e))
+        slot = self.find(kinded(P.spans(sums, s, e), False))
         out = [(s[slot >= 0], e[slot >= 0], self.chain[slot[slot >= 0]])]
         high = cp >= 0x80
         count = np.concatenate([[0], np.cumsum(high)])
@@ -217,7 +233,7 @@ class Table:
             i = np.flatnonzero(high[: max(0, len(cp) - n + 1)])
             # the second byte of a Big5 or GB character can be ASCII, so half of the characters may be
             i = i[(count[i + n] - count[i] >= (n + 1) // 2) & (row[i] == row[i + n - 1])] if len(i) else i
-            slot = self.find(P.spans(sums, i, i + n))
+            slot = self.find(kinded(P.spans(sums, i, i + n), True))
             i, slot = i[slot >= 0], slot[slot >= 0]
             out.append((i, i + n, self.chain[slot]))
         lost = np.flatnonzero(cp == LOST)
