@@ -26,6 +26,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Sources a mixture may have; their table is read by the driver.
 MOST_SOURCES = 100_000
 NEAR = 1e-9
+#: Share of a source's wanted tokens above which a document is drawn before the flight.
+GREAT = 0.03
+#: Share of the targets that very small sources may miss.
+SHORT = 0.1
 #: Documents of a source that are left to the landing phase, besides the two of the flight.
 LANDED = 8
 
@@ -95,7 +99,7 @@ class Flight:
 class Mixture:
     """Tokens per source, wanted total and rates; documents draws, shares reports."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER):
+    def __init__(self, docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER, short: float = SHORT):
         self.seed = seed
         wanted = targets.where("source is not null and target_share > 0").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").cast("double").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
         rows = wanted.limit(MOST_SOURCES + 1).collect()
@@ -110,14 +114,33 @@ class Mixture:
         live = {s: (share, most) for s, (share, most) in self.targets.items() if s in self.have and most > 0}
         whole = sum(share for share, _ in live.values())
         self.share = {s: share / whole for s, (share, _) in live.items()}
-        # the most that leaves every source its share, and the wanted total if that is less
-        limit = min((most * self.have[s][0] / self.share[s] for s, (_, most) in live.items()), default=0.0)
-        self.total = limit if total is None else min(float(total), limit)
+        # up to this total a source can have its share; sources that fall short by then make up at most `short` of all shares
+        level = sorted((most * self.have[s][0] / self.share[s], s) for s, (_, most) in live.items())
+        limit, left = 0.0, short + NEAR
+        for limit, s in level:  # noqa: B007
+            left -= self.share[s]
+            if left < 0:
+                break
+        self.total = limit if total is None else float(total)
         self.rate = {s: min(float(live[s][1]), self.share[s] * self.total / self.have[s][0]) for s in live}
+        # A document of more than GREAT of its source's wanted tokens would stay open to the end of the flight and could not be balanced any more, so
+        # these are drawn first, each by its own probability, and the rate of the others makes up for what came out, where they can.
+        want = {s: r * self.have[s][0] for s, r in self.rate.items()}
+        bound = spark.createDataFrame([(s, GREAT * w, self.rate[s]) for s, w in want.items()] or [("", 0.0, 0.0)], "source string, bound double, rate double")
+        chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+        great = self.tokens.join(F.broadcast(bound), "source").where("tokens > bound").withColumn("whole", F.floor(F.col("rate") + NEAR))
+        self.great = great.withColumn("copies", (F.col("whole") + (chance < F.col("rate") - F.col("whole")).cast("int")).cast("int"))
+        self.bound = {}
+        for r in self.great.groupBy("source").agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn")).toLocalIterator():
+            s, most = r["source"], live[r["source"]][1]
+            rest, need = self.have[s][0] - r["t"], want[s] - r["drawn"]
+            if rest > 0 and 0 <= need <= most * rest and rest * self.rate[s] >= 0.25 * want[s]:
+                self.bound[s], self.rate[s] = GREAT * want[s], need / rest
+        self.share = {s: t / max(sum(want.values()), NEAR) for s, t in want.items()}
 
     def draw(self) -> DataFrame:
         """(doc_id, source, tokens, copies) of the documents taken."""
-        rate, seed = self.rate, self.seed
+        rate, seed, bound = self.rate, self.seed, self.bound
         schema = "doc_id long, source string, tokens long, copies int, open double"
 
         def whole(r: float) -> tuple[int, float]:
@@ -133,7 +156,7 @@ class Mixture:
                 out = []
                 for who, source, tokens in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "source", "tokens"))):
                     r = rate.get(source)
-                    if not r:
+                    if not r or tokens > bound.get(source, math.inf):
                         continue
                     sure, p = whole(r)
                     if source not in flights:
@@ -159,7 +182,8 @@ class Mixture:
         flown = cut(self.tokens.mapInArrow(fly, schema))
         # at most two open documents of each partition and source
         rest = flown.where("open is not null").groupBy("source").applyInArrow(land, schema)
-        return flown.where("open is null").union(rest).select("doc_id", "source", "tokens", "copies")
+        first = self.great.where(F.col("source").isin(list(bound)) & (F.col("copies") > 0)).select("doc_id", "source", "tokens", "copies")
+        return flown.where("open is null").union(rest).select("doc_id", "source", "tokens", "copies").union(first)
 
     def shares(self, drawn: DataFrame) -> DataFrame:
         """(source, target_share, feasible_share, documents, copies, tokens, actual_share): one row per target; a source without documents has 0."""
@@ -172,15 +196,16 @@ class Mixture:
         return joined.select("source", "target_share", F.round("feasible_share", 6).alias("feasible_share"), zero("documents"), zero("copies"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER) -> Mixture:
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER, short: float = SHORT) -> Mixture:
     """Draw documents so that each source of targets makes up its share of all tokens, none taken more than its max_repeats times.
 
-    total: the wanted tokens; by default, and at most, what leaves every source with documents its share. Sources without documents get nothing and the others
-    keep their proportions (feasible_share). Documents with null or empty text, null key or a source that is no target are not drawn; sources are compared
+    total: the wanted tokens; by default the most at which the sources that cannot have their share, for all of their documents taken max_repeats times,
+    make up at most `short` of all shares. Those are taken whole, sources without documents get nothing, and the others keep their proportions; feasible_share
+    is what then is possible for each. Documents with null or empty text, null key or a source that is no target are not drawn; sources are compared
     without case and outer blanks; a source given twice has the sum of its shares; a null max_repeats counts as 1. Equal token counts leave the constraints
     exact. Other columns are not read. Same tables and seed, same draw (for the same partitions).
     """
-    return Mixture(docs, targets, total, seed, path)
+    return Mixture(docs, targets, total, seed, path, short)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
