@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import literal
+from .ids import numbered
 
 MOST = 32
 RRF, EXPANSION, SEMANTIC_LEAST, SEMANTIC_MOST = 60, 1 / 1000, 0.65, 1000
@@ -58,8 +59,9 @@ def fused(exact: DataFrame, expanded: DataFrame, semantic: DataFrame) -> DataFra
 
     exact: doc_id, rank_score; expanded: doc_id, one row per hit; semantic: doc_id, passage, score, at most SEMANTIC_MOST rows.
     """
-    first = exact.withColumn("r", F.row_number().over(W.orderBy("rank_score", "doc_id"))).select("doc_id", (1 / (RRF + F.col("r"))).alias("s"), F.lit("exact").alias("by"))
+    first = numbered(exact, "r", "rank_score", "doc_id").select("doc_id", (1 / (RRF + F.col("r"))).alias("s"), F.lit("exact").alias("by"))
     second = expanded.groupBy("doc_id").agg((F.count("*") * EXPANSION).alias("s")).withColumn("by", F.lit("expanded"))
+    # at most SEMANTIC_MOST rows
     third = semantic.withColumn("r", F.row_number().over(W.orderBy(F.desc("score"), "passage"))).select("doc_id", (1 / (RRF + F.col("r"))).alias("s"), F.lit("semantic").alias("by"))
     total = first.union(second).union(third).groupBy("doc_id").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("by")).alias("matched_by"))
     place = F.when(F.array_contains("matched_by", "exact"), -2.0).otherwise(0.0) - F.least(F.lit(1.0), F.col("score"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_count
+from .parallel import spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -27,7 +28,7 @@ def bm25(segments: DataFrame, patterns: dict[str, str]) -> DataFrame:
     Two scans of the text and no shuffle: frequencies are counted by the JVM, and the statistics are one broadcast row.
     """
     names = list(patterns)
-    counted = segments.withColumn("length", F.size(tokens("content"))).withColumns({f"tf_{n}": F.regexp_count("content", F.lit(p)) for n, p in patterns.items()})
+    counted = spread(segments).withColumn("length", token_count("content")).withColumns({f"tf_{n}": F.regexp_count("content", F.lit(p)) for n, p in patterns.items()})
     one = statistics(counted, names)
     joined = counted.join(F.broadcast(one))  # one row
     ranks = [F.when(F.col(f"tf_{n}") > 0, score(F.col(f"tf_{n}"), F.col("length"), F.col("mean"), F.col(f"n_{n}"), F.col("n_all"))).otherwise(0.0) for n in names]

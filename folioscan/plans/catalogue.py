@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.porter import family
-from ..functions.text import grams, literal, phrase_set, tokens, word_set
+from ..functions.text import grams, literal, token_count, word_set
 from ..operators import changes, expand, filters, occurrences, quality, rank, vectors
 from .search import Options, Searcher, index_tables
 
@@ -415,7 +415,7 @@ def _(s, d):
 
 @query("segment_lengths", f"SELECT segment_row_id, CAST(len({TOKENS_SQL}) AS BIGINT) AS n FROM doc_segments")
 def _(s, d):
-    return segs(s, d).select("segment_row_id", F.size(tokens("content")).cast("long").alias("n"))
+    return segs(s, d).select("segment_row_id", token_count("content").cast("long").alias("n"))
 
 
 # statistics and quality

@@ -16,6 +16,7 @@ from ..functions.porter import stem
 from ..functions.text import grams, is_cjk, literal, phrase_set, query_grams, quoted, tokens, word_set
 from ..operators import filters, rank, snippets
 from ..operators.occurrences import occurrences, with_sources
+from ..operators.parallel import spread
 from .querylang import Node, QueryError, filename_term, negative_term, parse
 
 
@@ -277,7 +278,7 @@ class Searcher:
 
 def index_tables(segments: DataFrame) -> dict[str, DataFrame]:
     """Postings, pairs of ideographs, lengths and vocabulary, for writing bucketed by their keys; made in one explode each."""
-    listed = segments.select("segment_row_id", "doc_id", tokens("content").alias("t"))
+    listed = spread(segments).select("segment_row_id", "doc_id", tokens("content").alias("t"))
     postings = listed.select("segment_row_id", F.posexplode("t").alias("position", "term")).groupBy("term", "segment_row_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     return {
         "postings": postings,
