@@ -15,7 +15,6 @@ PRESET_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 MIB = 1 << 20
 PRESET_SIZES = {"small": (None, MIB - 1), "medium": (MIB, 10 * MIB - 1), "large": (10 * MIB, 100 * MIB), "huge": (100 * MIB + 1, None)}
 UNITS = {"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
-TRUE = F.lit(True)
 
 
 def type_group(kinds: str | list[str] | None, column: str = "file_type") -> Column:
