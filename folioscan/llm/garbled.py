@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import points as P
-from .tables import cut, read, spread
+from .tables import cut, prune, read, spread
 
 # Fixed values: (written, read) of each step of a chain; ansi is Windows-1252 with its five undefined bytes kept as control characters.
 CHAINS = (
@@ -294,7 +294,8 @@ def repair(text: str, chains: list[int]) -> tuple[str, bool]:
 def restored(df: DataFrame, key: str = "segment_row_id", text: str = "content") -> DataFrame:
     """(key, restored, complete) of the garbled rows: chains with most hits first; complete is false where characters were lost."""
     found = garbled(df, key, text, by_chain=True).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("hits", "chain")), asc=False).alias("chains"))
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")).join(found, key)
+    found = cut(found)
+    rows = prune(df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")), found, key).distinct().join(found, key)
 
     def undo(batches):
         for batch in batches:
