@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, expand, quality, vectors
+from .operators.chunks import chunked
 from .operators.ids import numbered
 from .plans.querylang import QueryError
 from .plans.search import Options, Page, Searcher
@@ -99,17 +100,15 @@ class Engine:
 
     # vectors
 
-    def build_vectors(self, target: int = 800) -> int:
+    def build_vectors(self) -> int:
         """Encode the segments that have no vectors yet, keep the others, and publish if nothing changed meanwhile."""
         if self.encoder is None:
             raise ValueError("no encoder")
         state, segments = self.store.state, self.store.table("segments")
         old = self.store.table("chunks") if state["model_id"] == self.encoder.model_id else self.store.table("chunks").where(F.lit(False))
         todo = segments.join(old.select("segment_row_id"), "segment_row_id", "left_anti")
-        pieces = todo.withColumn("n", F.ceil(F.length("content") / target)).withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n").cast("int") - 1, F.lit(0))), lambda i: i * target)))
-        pieces = pieces.withColumn("end", F.least(F.col("start") + target, F.length("content"))).withColumn("piece", F.concat_ws(":", "segment_row_id", "start", "end"))
-        texts = pieces.select("piece", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
-        made = vectors.encode(texts, "piece", "text", self.encoder).withColumn("p", F.split("piece", ":"))
+        pieces = chunked(todo, encoder=self.encoder).withColumn("piece", F.concat_ws(":", "segment_row_id", "start", "end"))
+        made = vectors.encode(pieces, "piece", "text", self.encoder).withColumn("p", F.split("piece", ":"))
         new = made.select(F.col("p")[0].cast("long").alias("segment_row_id"), F.col("p")[1].cast("int").alias("start"), F.col("p")[2].cast("int").alias("end"), "vector")
         new = numbered(new, "chunk_id", "segment_row_id", "start", start=state["chunk"])
         return self.store.publish_vectors(old.unionByName(new.select("chunk_id", "segment_row_id", "start", "end", "vector")), self.encoder.model_id, state["revision"])
@@ -120,7 +119,7 @@ class Engine:
         revision = self.store.revision
         return Searcher(self.store.table("documents", revision), self.store.table("segments", revision), revision)
 
-    def search_page(self, query: str, options: Options | None = None, cursor: str | None = None, mode: str = "literal", synonyms: dict[str, list[str]] | None = None) -> Page:
+    def search_page(self, query: str, options: Options | None = None, cursor: str | None = None, mode: str = "literal", synonyms: dict[str, list[str]] | None = None, scopes: list[dict] | None = None) -> Page:
         """mode: literal, expanded (synonyms, one-edit variants) or hybrid (and vectors)."""
         s, options = self.searcher(), options or Options()
         if mode == "literal":
@@ -133,6 +132,12 @@ class Engine:
             terms += [r[0] for r in expand.near_words(expand.vocabulary(s.segments), query).collect()]
         chosen = s.documents.where(options.condition()).select("doc_id")
         hits = expand.expansion_hits(s.segments, terms, options.match_case, options.whole_word).join(chosen, "doc_id", "left_semi")
+        for scope in scopes or []:
+            words = expand.synonyms(query, scope.get("terms", {}))
+            if words:
+                inside = s.documents.where(expand.in_scope(scope)).select("doc_id")
+                hits = hits.union(expand.expansion_hits(s.segments, words, options.match_case, options.whole_word).join(chosen, "doc_id", "left_semi").join(inside, "doc_id", "left_semi"))
+                terms += [w for w in words if w not in terms]
         state = self.store.state
         ready = self.encoder is not None and state["model_id"] == self.encoder.model_id and state["vector_revision"] == state["revision"]
         passages = s.segments.select("doc_id", F.lit(0).cast("long").alias("passage"), F.lit(0.0).alias("score")).where(F.lit(False))
@@ -140,7 +145,13 @@ class Engine:
             q = self.encoder.encode(["query: " + query])[0]
             best = vectors.nearest(self.store.table("chunks"), "chunk_id", "vector", q, expand.SEMANTIC_MOST, expand.SEMANTIC_LEAST)
             passages = best.join(self.store.table("chunks"), "chunk_id").join(s.segments, "segment_row_id").join(chosen, "doc_id", "left_semi").select("doc_id", F.col("chunk_id").alias("passage"), "score")
-        page = s.page(query, options, cursor, mode, expand.fused(exact.select("doc_id", "rank_score"), hits, passages))
+        fused = expand.fused(exact.select("doc_id", "rank_score"), hits, passages)
+        page = s.page(query, options, cursor, mode, fused)
+        ids = [i["doc_id"] for i in page.items]
+        by = {r["doc_id"]: r["matched_by"] for r in fused.where(F.col("doc_id").isin(ids)).select("doc_id", "matched_by").collect()}
+        shown = expand.passages(s.segments.where(F.col("doc_id").isin(ids)), [query, *terms], options.match_case, options.whole_word) if ids else {}
+        for item in page.items:
+            item["matched_by"], item["passages"] = by.get(item["doc_id"], []), shown.get(item["doc_id"], [])
         page.semantic_ready, page.semantic_candidate_limit = ready, expand.SEMANTIC_MOST if mode == "hybrid" else None
         return page
 
@@ -151,7 +162,8 @@ class Engine:
         if not 1 <= limit <= 100:
             raise ValueError("limit 1..100")
         cursor, mode, synonyms = more.pop("cursor", None), more.pop("search_mode", "literal"), more.pop("synonyms", None)
-        page = self.search_page(query, Options(type_filter=formats, limit=limit, **more), cursor, mode, synonyms)
+        scopes = more.pop("synonym_scopes", None)
+        page = self.search_page(query, Options(type_filter=formats, limit=limit, **more), cursor, mode, synonyms, scopes)
         return {"query": query, "result_count": len(page.items), "results": page.items} | {k: v for k, v in asdict(page).items() if k != "items"}
 
     def match_locations(self, query: str, doc_id: int, **more) -> dict:

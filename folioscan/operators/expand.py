@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import literal
+from .filters import under
 from .ids import numbered
 
 MOST = 32
@@ -74,3 +75,31 @@ def expansion_hits(segments: DataFrame, terms: list[str], match_case: bool = Fal
         return segments.select("doc_id", "segment_row_id", F.lit("").alias("term")).where(F.lit(False))
     found = F.array_compact(F.array(*[F.when(F.col("content").rlike(literal(t, match_case, whole_word)), F.lit(t)) for t in terms[:MOST]]))
     return segments.select("doc_id", "segment_row_id", F.explode(found).alias("term"))
+
+
+def in_scope(scope: dict):
+    """Documents of the scope's file type and below its path; what is unset holds for all."""
+    out = F.lit(True)
+    if scope.get("file_type"):
+        out = out & (F.col("file_type") == scope["file_type"].lower())
+    return out & under("path", scope["path"]) if scope.get("path") else out
+
+
+def passages(segments: DataFrame, terms: list[str], match_case: bool = False, whole_word: bool = False, around: int = 120, most: int = 3) -> dict[int, list[dict]]:
+    """Of each document of a page the first `most` contexts of the terms; those that overlap an earlier one of the segment are left out."""
+    flags = 0 if match_case else re.IGNORECASE
+    shape = re.compile("|".join(rf"(?<!\w){re.escape(t)}(?!\w)" if whole_word else re.escape(t) for t in terms), flags)
+    any_ = F.lit(False)
+    for t in terms[: MOST + 1]:
+        any_ = any_ | F.col("content").rlike(literal(t, match_case, whole_word))
+    out: dict[int, list[dict]] = {}
+    for r in segments.where(any_).orderBy("doc_id", "segment_row_id").select("doc_id", "segment_row_id", "content").toLocalIterator():
+        mine, last = out.setdefault(r["doc_id"], []), -1
+        for m in shape.finditer(r["content"]):
+            if len(mine) == most:
+                break
+            start, end = max(0, m.start() - around), min(len(r["content"]), m.end() + around)
+            if start > last:
+                mine.append({"segment_row_id": r["segment_row_id"], "start": start, "end": end, "text": r["content"][start:end]})
+                last = end
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.porter import family
 from ..functions.text import grams, literal, token_count, word_set
 from ..operators import changes, expand, filters, occurrences, quality, rank, vectors
+from ..operators.chunks import chunked
 from .search import Options, Searcher, index_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +404,11 @@ def _(s, d):
     return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"))
 
 
+@query("chunk_passages")
+def _(s, d):
+    return chunked(segs(s, d)).select("segment_row_id", "start", "end")
+
+
 @query("gram_candidates", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE contains(content, '{GRAM}') AND contains(content, '議記')")
 def _(s, d):
     return segs(s, d).where(F.array_contains(grams("content"), GRAM) & F.array_contains(grams("content"), "議記")).select("doc_id", "segment_row_id")

@@ -20,6 +20,10 @@ from ..operators.parallel import spread
 from .querylang import Node, QueryError, filename_term, negative_term, parse
 
 
+# Fixed value: the segment type of a hit in a file's name.
+FILENAME = "檔名"
+
+
 @dataclass
 class Options:
     """What a search may be told besides its text."""
@@ -230,7 +234,8 @@ class Searcher:
         if not ids:
             return []
         meta = {r["doc_id"]: r.asDict(recursive=True) for r in self.documents.where(F.col("doc_id").isin(ids)).collect()}
-        special = not options.regex and (filename_term(query) is not None or negative_term(query) is not None)
+        name = None if options.regex else filename_term(query)
+        special = not options.regex and (name is not None or negative_term(query) is not None)
         parts: dict[int, list[dict]] = {}
         if not special:
             for r in self.located(query, options, ids).collect():
@@ -240,9 +245,16 @@ class Searcher:
         for r in rows:
             m = meta[r["doc_id"]]
             found = sorted(parts.get(r["doc_id"], []), key=lambda x: x["segment_row_id"])
+            if name is not None:
+                found = [self._named(m["filename"], name, options)]
             out.append({k: m.get(k) for k in ("doc_id", "path", "filename", "file_type", "file_size", "mtime", "ctime", "parse_status", "warnings")} | {"rank_score": r["rank_score"], "segments": found, "total_matches": sum(x["match_count"] for x in found), "segment_count": len(found), "snippet_count": sum(len(x["snippets"]) for x in found), "count_complete": True})
         return out
 
+    def _named(self, filename: str, name: str, options: Options) -> dict:
+        """A hit in the name of a file, as one more segment."""
+        spans = [m.span() for m in re.finditer(folding.class_pattern(name, self.spark), filename, 0 if options.match_case else re.IGNORECASE)]
+        return {"segment_row_id": None, "location_type": FILENAME, "location": filename, "match_count": len(spans), "snippets": snippets.snippets(filename, spans, most=1, context=80)}
+
     def located(self, query: str, options: Options | None = None, ids: list[int] | None = None) -> DataFrame:
         """Matching segments with their texts and merged spans; of the given documents only, if given."""
         options = options or Options()

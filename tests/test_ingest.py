@@ -84,6 +84,8 @@ def test_index_search_update(spark, tree, tmp_path):
     assert e.problem_documents()["documents"][0]["parse_status"] == "corrupt"
     assert "longer text" in e.document_text(str(tree / "a.txt"))
     assert e.build_vectors() == e.store.revision and e.search("text", search_mode="hybrid")["semantic_ready"]
+    page = e.search("committee", search_mode="expanded", synonyms={"committee": ["longer"]}, synonym_scopes=[{"file_type": "docx", "terms": {"committee": ["hello"]}}])
+    assert [(os.path.basename(r["path"]), r["matched_by"]) for r in page["results"]] == [("a.txt", ["expanded"]), ("c.docx", ["expanded"])] and page["results"][0]["passages"]
     n = e.store.table("chunks").count()
     assert n == e.store.table("chunks").select("chunk_id").distinct().count() >= 3
     with pytest.raises(StoreError):

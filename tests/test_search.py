@@ -163,3 +163,23 @@ def test_index_tables(spark):
     assert {(r["term"], r["tf"]) for r in t["postings"].collect()} == {("alpha", 2), ("會", 1), ("議", 1)}
     assert [r["gram"] for r in t["cjk_grams"].collect()] == ["會議"] and t["lengths"].first()["length"] == 4
     assert t["vocabulary"].where(F.col("term") == "alpha").first()["segments"] == 1
+
+
+def test_chunks():
+    from folioscan.operators.chunks import bounds
+
+    assert bounds("a" * 1000) == [(0, 1000)] and bounds("") == []
+    text = ("x" * 99 + "。") * 30
+    out = bounds(text)
+    assert out[0] == (0, 800) and out[-1][1] == len(text) and all(b - a <= 1000 for a, b in out)
+    assert all(c < b and b - c == round(0.15 * (b - a)) for (a, b), (c, _) in zip(out, out[1:]))
+    assert max(b - a for a, b in bounds("word " * 500, fits=lambda t: len(t.split()) <= 50)) <= 250
+
+
+def test_filename_hits_and_scopes(s, tmp_path):
+    page = s.page("filename:alpha")
+    assert page.items[0]["segments"][0]["location_type"] == "檔名" and "<mark>Alpha</mark>" in page.items[0]["segments"][0]["snippets"][0]
+    inside = s.documents.where(expand.in_scope({"file_type": "pdf", "path": "/srv/share/a"}))
+    assert [r["doc_id"] for r in inside.collect()] == [1]
+    shown = expand.passages(s.segments, ["budget"])
+    assert len(shown[10]) == 1 and shown[11][0]["text"].startswith("budget reviewed")
