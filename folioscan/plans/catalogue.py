@@ -149,13 +149,17 @@ def _(s, d):
     return searcher(s, d).hits("±").select("doc_id", "segment_row_id")
 
 
+# what may stand beside a token: no letter or digit, or an ideograph
+OUTSIDE = "[^\\pL\\pN]|[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{323af}]"
+
+
 def alternation(word: str) -> str:
     return "|".join(family(word))
 
 
 def token_sql(word: str) -> str:
     """Whole index tokens with the stem of word."""
-    return f"regexp_matches(content, '(?i)(^|[^\\pL\\pN])({alternation(word)})([^\\pL\\pN]|$)')"
+    return f"regexp_matches(content, '(?i)(^|{OUTSIDE})({alternation(word)})({OUTSIDE}|$)')"
 
 
 @query("stem_single", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE {token_sql(STEM_WORD)}")
@@ -163,7 +167,7 @@ def _(s, d):
     return searcher(s, d).hits(STEM_WORD).select("doc_id", "segment_row_id")
 
 
-@query("stem_phrase", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE regexp_matches(content, '(?i)(^|[^\\pL\\pN])({alternation(PHRASE[0])})[^\\pL\\pN]+({alternation(PHRASE[1])})([^\\pL\\pN]|$)')")
+@query("stem_phrase", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE regexp_matches(content, '(?i)(^|{OUTSIDE})({alternation(PHRASE[0])})[^\\pL\\pN]+({alternation(PHRASE[1])})({OUTSIDE}|$)')")
 def _(s, d):
     return searcher(s, d).hits(f'"{" ".join(PHRASE)}"').select("doc_id", "segment_row_id")
 
