@@ -174,4 +174,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found}
-SQL: dict[str, str] = {}
+_UNITS = r"regexp_extract_all(regexp_replace(lower(text), '([\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}])', ' \1 ', 'g'), '[\pL\pN]+')"
+_WINDOWS = "(SELECT DISTINCT {id}, array_to_string(u[i : i + 14], ' ') AS w FROM (SELECT {id}, u, unnest(range(1, len(u) - 13)) AS i FROM (SELECT {id}, {units} AS u FROM {table} WHERE text IS NOT NULL) WHERE len(u) >= 15))"
+SQL: dict[str, str] = {
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_WINDOWS.format(id='doc_id', units=_UNITS, table='documents')} JOIN {_WINDOWS.format(id='item_id', units=_UNITS, table='eval_items')} USING (w)",
+}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .points import mix
-from .tables import read, spread
+from .tables import read, sampled, spread
 
 K, LEAST, DIMENSIONS = 5, 0.85, 64
 SHARD, PROBES, PIVOT_SAMPLE = 4_096, 2, 20_000
@@ -280,8 +280,8 @@ def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id")).limit(PIVOT_SAMPLE).select("v")
     taken = rows.count()
+    sample = sampled(rows, PIVOT_SAMPLE, "id", taken).select("v")
     x = np.array([r[0] for r in sample.toLocalIterator()], np.float32).reshape(-1, dimensions)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     centre = spark.sparkContext.broadcast(pivots(x, max(1, min(len(x) // 8, math.ceil(taken / shard)))) if len(x) else np.zeros((1, dimensions), np.float32))

@@ -149,4 +149,13 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_coverage": p9_coverage}
-SQL: dict[str, str] = {}
+_SPANS = """WITH w AS (SELECT doc_id, i - 1 AS p, substring(text, i, 300) AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+h AS (SELECT DISTINCT doc_id, p FROM w JOIN (SELECT t FROM w GROUP BY t HAVING count(DISTINCT doc_id) > 1) USING (t)),
+f AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 300 OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS n FROM h),
+g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM f),
+r AS (SELECT doc_id, CAST(min(p) AS INT) AS span_start, CAST(max(p) + 300 AS INT) AS span_end FROM g GROUP BY doc_id, run)
+"""
+SQL: dict[str, str] = {
+    "p9_found": _SPANS + "SELECT doc_id, span_start, span_end FROM r",
+    "p9_coverage": _SPANS + "SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(c, 0) / length(text), 6) ELSE 0e0 END AS shared_ratio FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS c FROM r GROUP BY doc_id) USING (doc_id)",
+}

@@ -89,4 +89,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # one step of the recursion cuts one piece; w holds the characters from two before the first allowed end to one behind the last
+    "p3_found": r"""WITH RECURSIVE long AS (SELECT row_number() OVER () AS n, segment_row_id, content FROM doc_segments WHERE length(content) > 1000),
+c AS (
+  SELECT n, segment_row_id, content, 0 AS s, CAST(NULL AS INT) AS a, CAST(NULL AS INT) AS b FROM long
+  UNION ALL
+  SELECT n, segment_row_id, content, CASE WHEN e IS NULL THEN NULL ELSE e - CAST(floor(0.15 * (e - s)) AS INT) END, s, coalesce(e, CAST(length(content) AS INT)) FROM (
+    SELECT *, CASE WHEN length(content) - s <= 1000 THEN NULL WHEN hard >= 2 THEN s + 398 + hard WHEN soft >= 2 THEN s + 398 + soft ELSE s + 800 END AS e FROM (
+      SELECT *, CAST(greatest(length(regexp_extract(w, '(?s)^(.*\n)[^\n]', 1)), length(regexp_extract(v, '(?s)^(.*[。！？])', 1)), length(regexp_extract(v, '(?s)^(.*[.!?][ \t\n])', 1))) AS INT) AS hard, CAST(length(regexp_extract(v, '(?s)^(.*[ \t\n])', 1)) AS INT) AS soft FROM (
+        SELECT *, substring(content, s + 399, 403) AS w, substring(content, s + 399, 402) AS v FROM c WHERE s IS NOT NULL))))
+SELECT segment_row_id, a AS piece_start, b AS piece_end FROM c WHERE a IS NOT NULL""".replace("\\\\", "\\"),
+}

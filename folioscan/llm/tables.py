@@ -36,3 +36,12 @@ def prune(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(1 << BUCKET_BITS))
     return df.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
+
+
+def sampled(df: DataFrame, n: int, key: str, total: int | None = None) -> DataFrame:
+    """The n rows with the least hashes of key, the same for the same rows; all but about 2n rows are dropped in the scan."""
+    total = df.count() if total is None else total
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > 2 * n:
+        df = df.where(h < int((1 << 40) * min(1.0, 2 * n / total)))
+    return df.orderBy(h, key).limit(n)
