@@ -52,7 +52,7 @@ CHAINS = (
 CLEAN, USUAL = 5, 0.25
 GRAMS = (2, 3, 4, 6)
 #: Forms of one pass over the documents.
-FORM_BLOCK = 2_000_000
+FORM_BLOCK = 400_000
 LOST = 0xFFFD
 WIDE = re.compile("[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 

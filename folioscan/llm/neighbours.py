@@ -119,16 +119,17 @@ def blockwise(x: np.ndarray, anchor: np.ndarray, n: int, width: int) -> np.ndarr
         real = np.arange(w) < size[group][:, None]
         member = np.where(real, node[np.minimum(cell, len(node) - 1)], -1)
         v = x[member]
-        for r in range(0, w, 4096):
-            s = np.matmul(v[:, r : r + 4096], v.transpose(0, 2, 1))
+        step = max(64, (1 << 21) // w)
+        for r in range(0, w, step):
+            s = np.matmul(v[:, r : r + step], v.transpose(0, 2, 1))
             s[np.broadcast_to(~real[:, None, :], s.shape)] = -2
             rows = np.arange(s.shape[1])
             s[:, rows, rows + r] = -2
             s = s.reshape(-1, w)
             best = top(s, min(width, w))
             value = np.take_along_axis(s, best, 1)
-            who = member[:, r : r + 4096].ravel()
-            near = np.take_along_axis(np.repeat(member, len(rows), axis=0), best, 1)
+            who = member[:, r : r + step].ravel()
+            near = member[np.repeat(np.arange(len(group)), len(rows))[:, None], best]
             ok = (value > -2) & (who >= 0)[:, None]
             owner.append(np.broadcast_to(who[:, None], near.shape)[ok])
             other.append(near[ok])
