@@ -7,6 +7,7 @@ import json
 import os
 import re
 import sys
+import time
 
 from .plans.querylang import QueryError
 
@@ -32,6 +33,10 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--reprocess", action="store_true")
     p.add_argument("--build-vectors", action="store_true")
     p.add_argument("--self-check", action="store_true")
+    p.add_argument("--watch", type=float, metavar="SECONDS", help="index again and, when something changed, search again at this pace")
+    p.add_argument("--rounds", type=int, default=0, help="end --watch after so many rounds")
+    p.add_argument("--ocr", action="store_true", help="parse files again that had no recognition")
+    p.add_argument("--version", action="version", version="folioscan 1")
     p.add_argument("--json", action="store_true")
     return p.parse_args(argv)
 
@@ -75,7 +80,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         engine = Engine(spark, args.store, args.dir, encoder=HashEncoder())
         if args.dir:
-            report = engine.run()
+            report = engine.run(backfill="ocr_disabled" if args.ocr else None)
             if not args.search:
                 show(report)
         if args.reprocess:
@@ -93,6 +98,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             synonyms = read_synonyms(args.synonyms)[0] if args.synonyms else None
             result = engine.search(args.search, args.type, args.limit, cursor=args.cursor, search_mode=args.mode, synonyms=synonyms, **options)
             show(result) if args.json else print(listing(result))
+        seen, n = engine.store.revision, 0
+        while args.watch is not None and (not args.rounds or n < args.rounds):
+            time.sleep(args.watch)
+            n += 1
+            engine.run()
+            if engine.store.revision != seen:
+                seen = engine.store.revision
+                if args.search:
+                    print(listing(engine.search(args.search, args.type, args.limit, **options)), flush=True)
         if args.quality:
             show(engine.problem_documents(args.offset, args.limit) | {"status": engine.index_status()})
     except (QueryError, ValueError) as e:

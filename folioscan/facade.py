@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import changes, expand, quality, vectors
 from .operators.chunks import chunked
+from .operators.filters import has_warning, reprocess_eligible
 from .operators.ids import numbered
 from .plans.querylang import QueryError
 from .plans.search import Options, Page, Searcher
@@ -31,8 +32,9 @@ class Engine:
 
     # indexing
 
-    def run(self, scope: list[str] | None = None, force: list[str] | None = None) -> dict:
-        """Compare the folders (or those of scope) with the index; force: paths that are parsed again, without deletions."""
+    def run(self, scope: list[str] | None = None, force: list[str] | None = None, backfill: str | None = None) -> dict:
+        """Compare the folders (or those of scope) with the index; force: paths that are parsed again, without deletions; backfill: a warning code (ocr_disabled)
+        whose files are parsed again along with the changed ones."""
         began = time.time()
         roots = files.distinct_roots(scope) if scope is not None else self.directories
         good, bad = files.available(roots)
@@ -50,7 +52,10 @@ class Engine:
             indexed = indexed.where(inside)
         change = changes.diff(scanned, indexed).persist()
         try:
-            fresh = scanned.join(change.where(F.col("change").isin("new", "changed")).select("path"), "path", "left_semi")
+            wanted = change.where(F.col("change").isin("new", "changed")).select("path")
+            if backfill is not None:
+                wanted = wanted.union(indexed.where(has_warning(backfill)).select("path")).distinct()
+            fresh = scanned.join(wanted, "path", "left_semi")
             gone = changes.deletions(change, bad)
             n = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
             deleted = gone.count()
@@ -80,8 +85,6 @@ class Engine:
     def start_reprocess(self, paths: list[str] | None = None) -> dict:
         """Parse again the given paths, or all that another parser version made."""
         if paths is None:
-            from .operators.filters import reprocess_eligible
-
             paths = [r[0] for r in self.store.table("documents").where(reprocess_eligible()).select("path").toLocalIterator()]
         return self.run(force=paths)
 

@@ -178,5 +178,9 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["result_count"] == 2
     assert main([*store, "--search", "a AND"], spark) == 2 and main([*store, "--dir", "/none"], spark) == 1 and main(["--bad"], spark) == 2
     assert main([*store, "--self-check"], spark) == 0
+    (tree / "new.txt").write_text("another budget")
+    capsys.readouterr()
+    assert main([*store, "--dir", str(tree), "--search", "another", "--watch", "0.1", "--rounds", "1", "--ocr"], spark) == 0
+    assert "new.txt" in capsys.readouterr().out
     began = time.time()
     assert main([*store, "--quality"], spark) == 0 and time.time() - began < 120
