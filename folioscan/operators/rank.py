@@ -28,9 +28,11 @@ def bm25(segments: DataFrame, patterns: dict[str, str]) -> DataFrame:
     Two scans of the text and no shuffle: frequencies are counted by the JVM, and the statistics are one broadcast row.
     """
     names = list(patterns)
-    counted = spread(segments).withColumn("length", token_count("content")).withColumns({f"tf_{n}": F.regexp_count("content", F.lit(p)) for n, p in patterns.items()})
-    one = statistics(counted, names)
-    joined = counted.join(F.broadcast(one))  # one row
+    counted = spread(segments).withColumns({f"tf_{n}": F.regexp_count("content", F.lit(p)) for n, p in patterns.items()})
+    one = statistics(counted.withColumn("length", token_count("content")), names)
+    # lengths of segments without any term are not needed any more
+    length = F.when(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf_{n}") for n in names)) > 0, token_count("content"))
+    joined = counted.join(F.broadcast(one)).withColumn("length", length)  # one row
     ranks = [F.when(F.col(f"tf_{n}") > 0, score(F.col(f"tf_{n}"), F.col("length"), F.col("mean"), F.col(f"n_{n}"), F.col("n_all"))).otherwise(0.0) for n in names]
     rank = F.least(F.lit(0.0), *ranks) if ranks else F.lit(0.0)
     return joined.withColumn("rank", rank).drop("length", "mean", "n_all", *(f"tf_{n}" for n in names), *(f"n_{n}" for n in names))

@@ -12,6 +12,7 @@ from ..functions.porter import family
 from ..functions.text import grams, literal, token_count, word_set
 from ..operators import changes, expand, filters, occurrences, quality, rank, vectors
 from ..operators.chunks import chunked
+from ..sources.tables import table as held
 from .search import Options, Searcher, index_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,15 +39,15 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return held(spark, f"{d}/documents.parquet")
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/doc_segments.parquet")
+    return held(spark, f"{d}/doc_segments.parquet")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return held(spark, f"{d}/{name}.parquet")
 
 
 def words(_segments, word: str) -> list[str]:

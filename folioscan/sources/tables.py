@@ -1,0 +1,27 @@
+"""Tables of a session: small ones are read once and held in memory, large ones are scanned with their filters each time."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.parallel import spread
+
+#: Bytes of files up to which a table is held; beyond, filters and columns are pushed into the scan instead.
+HELD = 64 << 20
+_held: dict[tuple[str, str], DataFrame] = {}
+
+
+def size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _held:
+        df = spark.read.parquet(path)
+        if size(spark, path) > HELD:
+            return df
+        _held[key] = spread(df).persist()
+    return _held[key]
