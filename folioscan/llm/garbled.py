@@ -242,7 +242,7 @@ class Table:
 
 
 def garbled(df: DataFrame, key: str = "segment_row_id", text: str = "content", by_chain: bool = False) -> DataFrame:
-    """(key) of the rows whose text holds a garbled token; with by_chain also (chain, hits).
+    """(key) of the rows whose text holds a garbled token; with by_chain (key, chain, hits, spans), spans being the stretches of adjoining tokens.
 
     Null and empty texts hold none; rows repeated in full give one row; null keys are left out; other columns are not read.
     """
@@ -258,12 +258,22 @@ def garbled(df: DataFrame, key: str = "segment_row_id", text: str = "content", b
             t = shared.value
             for batch in batches:
                 for a, _, cp, off in P.chunks(batch.column(1)):
-                    s, _, chain = t.hits(cp, off)
+                    s, e, chain = t.hits(cp, off)
                     row = np.searchsorted(off, s, "right") - 1
-                    both, n = np.unique(row * 1000 + chain + 1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both // 1000 + a)), pa.array((both % 1000 - 1).astype(np.int32)), pa.array(n)], [key, "chain", "hits"])
-
-        return rows.mapInArrow(scan, f"{key} long, chain int, hits long")
+                    if not by_chain:
+                        row = np.unique(row)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a))], [key])
+                        continue
+                    group, first, last, n = islands(row * 1000 + chain + 1, s, e)
+                    owner = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+                    ends = np.r_[owner, len(group)].astype(np.int32)
+                    base = off[group // 1000]
+                    spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["start", "end"]))
+                    both = group[owner]
+                    hits = np.add.reduceat(n, owner) if len(owner) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both // 1000 + a)), pa.array((both % 1000 - 1).astype(np.int32)), pa.array(hits.astype(np.int64)), spans], [key, "chain", "hits", "spans"])
+
+        return rows.mapInArrow(scan, f"{key} long" + ", chain int, hits long, spans array<struct<start:int,end:int>>" * by_chain)
 
     found, block = None, []
     for r in table.toLocalIterator():
@@ -273,36 +283,70 @@ def garbled(df: DataFrame, key: str = "segment_row_id", text: str = "content", b
             found, block = part if found is None else found.union(part), []
     part = scan_with(block)
     found = part if found is None else found.union(part)
-    return found.groupBy(key, "chain").agg(F.max("hits").alias("hits")) if by_chain else found.select(key).distinct()
+    return found.dropDuplicates([key, "chain", "spans"]) if by_chain else found.distinct()
+
 
+def islands(group: np.ndarray, s: np.ndarray, e: np.ndarray, gap: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, start, end, tokens): tokens of a group that overlap, or leave at most `gap` characters between them, as one stretch."""
+    o = np.lexsort((e, s, group))
+    group, s, e = group[o], s[o], e[o]
+    if not len(group):
+        return group, s, e, s
+    # the running greatest end inside a group: groups are far apart on the shifted axis
+    big = int(e.max()) + gap + 2
+    rank = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+    far = np.maximum.accumulate(e + rank * big)
+    new = np.flatnonzero(np.r_[True, s[1:] + rank[1:] * big > far[:-1] + gap])
+    return group[new], s[new], far[np.r_[new[1:], len(s)] - 1] - rank[new] * big, np.diff(np.r_[new, len(s)])
 
-MARKS = re.compile("[^\x00-\x7f]+")
 
+def widths(chain) -> list[tuple[int, int]]:
+    """How a stretch may be longer or shorter than its tokens at both ends, the longest first: a token ends with a word, a stretch anywhere.
 
-def repair(text: str, chains: list[int]) -> tuple[str, bool]:
-    """The text with its garbled stretches undone, and whether none is left: longest stretches first, each only if garbling gives exactly it again."""
-    whole = True
-    for c in chains:
-        if c < 0:
-            continue
-        text = "".join(part if part.isascii() else restore(part, CHAINS[c]) or MARKS.sub(lambda m, c=c: restore(m[0], CHAINS[c]) or m[0], part) for part in re.split(r"([\n|]+)", text))
-    if "�" in text:
-        whole = False
-    return text, whole
+    Where both encodings have two bytes for a character any text can be turned, so such a stretch is not lengthened.
+    """
+    two = {"gb18030", "big5"}
+    most = 0 if all(w in two and g in two for w, g in chain) else 3
+    return sorted(((i, j) for i in range(-2, most + 1) for j in range(-2, most + 1)), key=lambda x: -sum(x))
+
+
+def repair(text: str, found: list[dict]) -> tuple[str, bool]:
+    """The text with its garbled stretches undone, each only if garbling gives exactly it again, and whether none is left. found: chain, hits, spans."""
+    done: list[tuple[int, int, str]] = []
+    left = "\ufffd" in text
+    for f in sorted((f for f in found if f["chain"] >= 0), key=lambda f: (-f["hits"], f["chain"])):
+        chain = CHAINS[f["chain"]]
+        for span in f["spans"]:
+            s, e = span["start"], span["end"]
+            if any(a < e and s < b for a, b, _ in done):
+                continue
+            for i, j in widths(chain):
+                a, b = max(0, s - i), min(len(text), e + j)
+                if a >= b or any(x < b and a < y for x, y, _ in done) or "\n" in text[a:b] and "\n" not in text[s:e]:
+                    continue
+                out = restore(text[a:b], chain)
+                if out is not None:
+                    done.append((a, b, out))
+                    break
+            else:
+                left = True
+    for a, b, out in sorted(done, reverse=True):
+        text = text[:a] + out + text[b:]
+    return text, not left
 
 
 def restored(df: DataFrame, key: str = "segment_row_id", text: str = "content") -> DataFrame:
     """(key, restored, complete) of the garbled rows: chains with most hits first; complete is false where characters were lost."""
-    found = garbled(df, key, text, by_chain=True).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("hits", "chain")), asc=False).alias("chains"))
+    found = garbled(df, key, text, by_chain=True).groupBy(key).agg(F.collect_list(F.struct("chain", "hits", "spans")).alias("found"))
     found = cut(found)
     rows = prune(df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")), found, key).distinct().join(found, key)
 
     def undo(batches):
         for batch in batches:
-            done = [repair(t, [c["chain"] for c in cs]) for t, cs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            done = [repair(t, f) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], [key, "restored", "complete"])
 
-    return rows.select(key, "_text", F.transform("chains", lambda x: F.struct(x["chain"].alias("chain"))).alias("chains")).mapInArrow(undo, f"{key} long, restored string, complete boolean")
+    return rows.select(key, "_text", "found").mapInArrow(undo, f"{key} long, restored string, complete boolean")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
