@@ -109,7 +109,8 @@ class Mixture:
         spark = docs.sparkSession
         known = spark.createDataFrame([(s,) for s in self.targets] or [("",)], "source string")
         counted = token_counts(docs, "doc_id", "text", "source", path).where("tokens > 0")
-        self.tokens = cut(counted.join(F.broadcast(known), "source", "left_semi").select("doc_id", "source", "tokens"))
+        once = counted.join(F.broadcast(known), "source", "left_semi").groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x"))
+        self.tokens = cut(once.select("doc_id", "x.source", "x.tokens").sortWithinPartitions("doc_id"))
         self.have = {r["source"]: (r["tokens"], r["docs"]) for r in self.tokens.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).toLocalIterator()}
         live = {s: (share, most) for s, (share, most) in self.targets.items() if s in self.have and most > 0}
         whole = sum(share for share, _ in live.values())
@@ -201,8 +202,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
 
     total: the wanted tokens; by default the most at which the sources that cannot have their share, for all of their documents taken max_repeats times,
     make up at most `short` of all shares. Those are taken whole, sources without documents get nothing, and the others keep their proportions; feasible_share
-    is what then is possible for each. Documents with null or empty text, null key or a source that is no target are not drawn; sources are compared
-    without case and outer blanks; a source given twice has the sum of its shares; a null max_repeats counts as 1. Equal token counts leave the constraints
+    is what then is possible for each. Documents with null or empty text, null key or a source that is no target are not drawn; rows repeated under one
+    key count once, with the least source; sources are compared without case and outer blanks; a source given twice has the sum of its shares; a null max_repeats counts as 1. Equal token counts leave the constraints
     exact. Other columns are not read. Same tables and seed, same draw (for the same partitions).
     """
     return Mixture(docs, targets, total, seed, path, short)

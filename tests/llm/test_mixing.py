@@ -10,6 +10,7 @@ SCHEMA = "doc_id long, text string, source string, tokens string"
 def docs(spark, prose, n=300):
     rng = random.Random(1)
     rows = [(i, prose(rng.randint(40, 600), i), rng.choice(["a", "a", "a", " B ", "b", "C"]), "x") for i in range(n)]
+    rows += rows[:20]
     rows += [(1000, None, "a", "x"), (1001, "", "a", "x"), (1002, "hello there", None, "x"), (1003, "other", "unknown", "x"), (1004, prose(300, 7), "tiny", "x")]
     return spark.createDataFrame(rows, SCHEMA)
 
