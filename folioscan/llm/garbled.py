@@ -2,9 +2,9 @@
 
 Clean words are counted over the whole corpus: words with letters beyond ASCII, runs of such characters inside them, and pairs of adjoining ideographs.
 Each is written in one encoding and read in another, along every chain of CHAINS, which gives the table of garbled forms (form, original, chain).
-A form that is itself a usual word of the corpus is dropped by a join with the counts. The documents' tokens (words, runs, and runs of 2, 3, 4 and 6
+A form that is itself a usual word of the corpus is dropped by a join with the counts, unless it is so only by lines that repeat. The documents' tokens (words, runs, and runs of 2, 3, 4 and 6
 characters of text beyond ASCII) are then hash-joined with the table; what matches, and every replacement character, is garbled. The table is
-read by blocks of bounded size, so the documents themselves are never shuffled.
+read by blocks of bounded size, so the documents are shuffled only once, by line, to count the lines that repeat.
 """
 
 from __future__ import annotations
@@ -48,7 +48,8 @@ CHAINS = (
     (("utf-8", "ansi"), ("utf-8", "ansi")),
     (("utf-8", "latin-1"), ("utf-8", "latin-1")),
 )
-#: A word is clean if it occurs so often; a garbled form is dropped if it occurs more than USUAL times as often as its original.
+#: A word is clean if it occurs so often; a garbled form is dropped if it occurs more than USUAL times as often as its original in distinct
+#: lines; if it stands in no more distinct lines than the original, it is kept where its count over all lines is within USUAL too.
 CLEAN, USUAL = 5, 0.25
 GRAMS = (2, 3, 4, 6)
 #: Forms of one pass over the documents.
@@ -126,37 +127,56 @@ def tokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(token, n): the counts of words, runs, ideographs and pairs of them over all texts."""
+    """(token, n, d): the counts of words, runs, ideographs and pairs of them over all texts, and over their distinct lines.
+
+    No token crosses a line, so n does not depend on the lines; d does not depend on how often a text or most of it is stored again.
+    """
+    text = texts.columns[0]
+    # only lines with a character beyond ASCII hold tokens
+    lines = texts.where(F.length(text) != F.octet_length(text)).select(F.explode(F.split(text, "\n")).alias("_line")).where(F.length("_line") != F.octet_length("_line"))
+    lines = lines.groupBy("_line").agg(F.count("*").alias("copies"))
 
     def count(batches):
-        pairs: dict[int, int] = {}
-        words: dict[str, int] = {}
+        pairs: dict[int, list[int]] = {}
+        words: dict[str, list[int]] = {}
         for batch in batches:
-            for _, _, cp, off in P.chunks(batch.column(0)):
+            copies = batch.column(1).to_numpy()
+            for a, b, cp, off in P.chunks(batch.column(0)):
                 _, wide, _ = shape(cp)
+                times = copies[a:b]
+                row = P.rows_of(off)
                 first = np.zeros(len(cp) + 1, bool)
                 first[off] = True
                 two = np.flatnonzero(wide[:-1] & wide[1:] & ~first[1:-1]) if len(cp) > 1 else np.zeros(0, np.int64)
-                key, n = np.unique(cp[two].astype(np.int64) << 21 | cp[two + 1].astype(np.int64), return_counts=True)
-                one, times = np.unique(cp[wide], return_counts=True)
-                for k, c in zip([*key.tolist(), *one.tolist()], [*n.tolist(), *times.tolist()]):
-                    pairs[k] = pairs.get(k, 0) + c
+                one = np.flatnonzero(wide)
+                for key, at in ((cp[two].astype(np.int64) << 21 | cp[two + 1].astype(np.int64), two), (cp[one].astype(np.int64), one)):
+                    u, code, d = np.unique(key, return_inverse=True, return_counts=True)
+                    n = np.bincount(code, times[row[at]], len(u)).astype(np.int64)
+                    for k, x, y in zip(u.tolist(), n.tolist(), d.tolist()):
+                        add(pairs, k, x, y)
                 s, e = tokens(cp, off)
-                _, at, n = np.unique(P.spans(P.prefix(cp), s, e), return_index=True, return_counts=True)
-                for a, b, c in zip(s[at].tolist(), e[at].tolist(), n.tolist()):
-                    w = cp[a:b].tobytes().decode("utf-32-le")
-                    words[w] = words.get(w, 0) + c
+                _, at, code, d = np.unique(P.spans(P.prefix(cp), s, e), return_index=True, return_inverse=True, return_counts=True)
+                n = np.bincount(code, times[row[s]] if len(s) else s, len(at)).astype(np.int64)
+                for i, j, x, y in zip(s[at].tolist(), e[at].tolist(), n.tolist(), d.tolist()):
+                    add(words, cp[i:j].tobytes().decode("utf-32-le"), x, y)
             if len(pairs) + len(words) > 500_000:
                 yield batch_of(pairs, words)
                 pairs, words = {}, {}
         yield batch_of(pairs, words)
 
-    return texts.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return lines.mapInArrow(count, "token string, n long, d long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+
+
+def add(sums: dict, key, n: int, d: int) -> None:
+    old = sums.setdefault(key, [0, 0])
+    old[0] += n
+    old[1] += d
 
 
-def batch_of(pairs: dict[int, int], words: dict[str, int]) -> pa.RecordBatch:
+def batch_of(pairs: dict[int, list[int]], words: dict[str, list[int]]) -> pa.RecordBatch:
     names = [(chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF) for k in pairs] + list(words)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*pairs.values(), *words.values()], pa.int64())], ["token", "n"])
+    counts = [*pairs.values(), *words.values()]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], ["token", "n", "d"])
 
 
 def forms(words: DataFrame) -> DataFrame:
@@ -165,7 +185,7 @@ def forms(words: DataFrame) -> DataFrame:
     def make(batches):
         for batch in batches:
             out = []
-            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for token, n, d in zip(*(c.to_pylist() for c in batch.columns)):
                 if "�" in token or len(token) == 1 and WIDE.match(token):
                     continue
                 gram = bool(WIDE.match(token))
@@ -173,20 +193,21 @@ def forms(words: DataFrame) -> DataFrame:
                     form = garble(token, chain)
                     # a form of one character is no evidence, nor is one of ASCII; with a lost character it is found by that
                     if form and form != token and len(form) > 1 and not form.isascii():
-                        out.append((form, token, i, n, gram))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()))], ["form", "original", "chain", "n", "gram"])
+                        out.append((form, token, i, n, d, gram))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], ["form", "original", "chain", "n", "d", "gram"])
 
-    made = words.where(F.col("n") >= CLEAN).repartition("token").mapInArrow(make, "form string, original string, chain int, n long, gram boolean")
-    best = made.groupBy("form", "gram").agg(F.max(F.struct("n", (-F.col("chain")).alias("c"), "original")).alias("x"))
-    best = best.select("form", "gram", F.col("x.original").alias("original"), (-F.col("x.c")).alias("chain"), F.col("x.n").alias("n"))
+    made = words.where(F.col("n") >= CLEAN).repartition("token").mapInArrow(make, "form string, original string, chain int, n long, d long, gram boolean")
+    best = made.groupBy("form", "gram").agg(F.max(F.struct("d", "n", (-F.col("chain")).alias("c"), "original")).alias("x"))
+    best = best.select("form", "gram", F.col("x.original").alias("original"), (-F.col("x.c")).alias("chain"), F.col("x.n").alias("n"), F.col("x.d").alias("d"))
     # a form is usual if it, a pair of ideographs in it or a lone ideograph in it is: else garbled words that are counted as clean would turn clean
-    # text into forms
+    # text into forms; garbled text itself, stored many times, must not make it so, hence the distinct lines
     wide = r"[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
     pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length("form") - 1), lambda i: F.substring(F.col("form"), i, F.lit(2))), lambda p: p.rlike(wide + "{2}"))
     lone = F.regexp_extract_all("form", F.lit(f"(?<!{wide})({wide})(?!{wide})"), F.lit(1))
-    parts = best.select("form", "gram", "original", "chain", "n", F.explode(F.array_distinct(F.concat(F.array("form"), pairs, lone))).alias("token"))
-    own = parts.join(words.withColumnRenamed("n", "own"), "token", "left").groupBy("form", "gram", "original", "chain", "n").agg(F.max(F.coalesce("own", F.lit(0))).alias("own"))
-    return own.where(F.col("own") <= USUAL * F.col("n")).select("form", "original", "chain", "gram")
+    parts = best.select("form", "gram", "original", "chain", "n", "d", F.explode(F.array_distinct(F.concat(F.array("form"), pairs, lone))).alias("token"))
+    counts = words.select("token", F.col("n").alias("own"), F.col("d").alias("own_d"))
+    own = parts.join(counts, "token", "left").groupBy("form", "gram", "original", "chain", "n", "d").agg(*(F.max(F.coalesce(c, F.lit(0))).alias(c) for c in ("own", "own_d")))
+    return own.where((F.col("own_d") <= USUAL * F.col("d")) | (F.col("own") <= USUAL * F.col("n")) & (F.col("own_d") <= F.col("d"))).select("form", "original", "chain", "gram")
 
 
 def kinded(h: np.ndarray, gram) -> np.ndarray:

@@ -33,3 +33,15 @@ def test_finds_and_restores(spark):
 def test_empty(spark):
     assert G.garbled(frame(spark, []).where("false")).count() == 0
     assert G.garbled(frame(spark, [])).count() == 0
+
+
+def test_copies_of_a_garbled_text_do_not_hide_it(spark):
+    chain = (("big5", "gb18030"),)
+    # signs whose garbled form is an ideograph: others are evidence of their own
+    text = "".join(c for c in CLEAN[2] + CLEAN[3] if G.WIDE.fullmatch(G.garble(c, chain) or ""))
+    bad = G.garble(text, chain)
+    filler = [(i, f"第{i}項\n{text}{i}", "x") for i in range(40)]
+    copies = [(1000 + i, bad, "x") for i in range(60)]
+    near = [(2000 + i, f"{bad}\nNo. {i}", "x") for i in range(60)]
+    df = spark.createDataFrame(filler + copies + near, "segment_row_id long, content string, token string")
+    assert {r[0] for r in G.garbled(df).collect()} == {r[0] for r in copies + near}
