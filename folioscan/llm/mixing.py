@@ -3,7 +3,7 @@
 The cube method (Deville and Tille 2004; fast flight of Chauvet and Tille 2006). Each source gets an expected number of copies per document, its
 share of the wanted total over its tokens; the whole part is taken for sure and the fraction is an inclusion probability. The flight phase takes
 three open documents of a source at a time and moves their probabilities along the null space of the two constraints (tokens and documents),
-until one of them is 0 or 1, so both totals stay exact. It runs in every partition on its own; the two documents each leaves open per source are flown again
+until one of them is 0 or 1, so both totals stay exact. It runs in every partition on its own; the few documents each leaves open per source are flown again
 per source, and the last few are decided in the landing phase by the least deviation from the target tokens.
 """
 
@@ -28,8 +28,8 @@ MOST_SOURCES = 100_000
 NEAR = 1e-9
 #: Share of a source's wanted tokens above which a document is drawn before the flight.
 GREAT = 0.03
-#: Share of the targets that very small sources may miss.
-SHORT = 0.1
+#: Share of the targets that very small sources may miss: none, unless mix() is told otherwise.
+SHORT = 0.0
 #: Documents of a source that are left to the landing phase, besides the two of the flight.
 LANDED = 8
 
@@ -56,9 +56,10 @@ def token_counts(df: DataFrame, key: str, text: str, source: str, path: str = TO
 
 
 class Flight:
-    """The open documents of one source, at most two between two steps."""
+    """The open documents of one source, at most `keep`, two at least, between two steps."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, keep: int = 2):
+        self.keep = keep
         self.open: list[list] = []  # [probability, tokens, id]
         self.random = random.Random(seed)
 
@@ -66,7 +67,7 @@ class Flight:
         """Takes in a document; returns the documents decided by that, as (id, tokens, taken)."""
         self.open.append([p, tokens, who])
         decided = self._settled()
-        while len(self.open) > 2:
+        while len(self.open) > self.keep:
             a, b, c = self.open[:3]
             # orthogonal to (1, 1, 1) and to the tokens
             u = [b[1] - c[1], c[1] - a[1], a[1] - b[1]]
@@ -161,7 +162,7 @@ class Mixture:
                         continue
                     sure, p = whole(r)
                     if source not in flights:
-                        flights[source] = Flight(zlib.crc32(f"{seed} {source} {who}".encode()))
+                        flights[source] = Flight(zlib.crc32(f"{seed} {source} {who}".encode()), LANDED + 2)
                     for i, t, taken in flights[source].step(p, tokens, who):
                         if sure + taken:
                             out.append((i, source, t, sure + taken, None))
@@ -181,27 +182,31 @@ class Mixture:
             return pa.Table.from_batches([batch([(i, source, t, sure + taken, None) for i, t, taken in done if sure + taken])])
 
         flown = cut(self.tokens.mapInArrow(fly, schema))
-        # at most two open documents of each partition and source
+        # at most LANDED + 2 open documents of each partition and source: enough to land on, also where there is one partition only
         rest = flown.where("open is not null").groupBy("source").applyInArrow(land, schema)
         first = self.great.where(F.col("source").isin(list(bound)) & (F.col("copies") > 0)).select("doc_id", "source", "tokens", "copies")
         return flown.where("open is null").union(rest).select("doc_id", "source", "tokens", "copies").union(first)
 
     def shares(self, drawn: DataFrame) -> DataFrame:
-        """(source, target_share, feasible_share, documents, copies, tokens, actual_share): one row per target; a source without documents has 0."""
+        """(source, target_share, feasible_share, documents, copies, tokens, actual_share, deviation): one row per target; a source without documents has 0.
+
+        deviation: actual_share less target_share.
+        """
         spark = drawn.sparkSession
         plan = spark.createDataFrame([(s, float(share), float(self.share.get(s, 0.0))) for s, (share, _) in self.targets.items()], "source string, target_share double, feasible_share double")
         got = drawn.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").cast("long").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
         all_ = got.agg(F.sum("tokens").alias("all"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
         joined = plan.join(got, "source", "left").join(F.broadcast(all_))  # all_ is one row
-        return joined.select("source", "target_share", F.round("feasible_share", 6).alias("feasible_share"), zero("documents"), zero("copies"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"))
+        actual = F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0))
+        return joined.select("source", "target_share", F.round("feasible_share", 6).alias("feasible_share"), zero("documents"), zero("copies"), zero("tokens"), F.round(actual, 6).alias("actual_share"), F.round(actual - F.col("target_share"), 6).alias("deviation"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER, short: float = SHORT) -> Mixture:
     """Draw documents so that each source of targets makes up its share of all tokens, none taken more than its max_repeats times.
 
-    total: the wanted tokens; by default the most at which the sources that cannot have their share, for all of their documents taken max_repeats times,
-    make up at most `short` of all shares. Those are taken whole, sources without documents get nothing, and the others keep their proportions; feasible_share
+    total: the wanted tokens; by default the most at which every source with documents can have its share within max_repeats. With `short` above 0
+    it is the most at which the sources that cannot, for all of their documents taken max_repeats times, make up at most `short` of all shares. Those are taken whole, sources without documents get nothing, and the others keep their proportions; feasible_share
     is what then is possible for each. Documents with null or empty text, null key or a source that is no target are not drawn; rows repeated under one
     key count once, with the least source; sources are compared without case and outer blanks; a source given twice has the sum of its shares; a null max_repeats counts as 1. Equal token counts leave the constraints
     exact. Other columns are not read. Same tables and seed, same draw (for the same partitions).

@@ -52,3 +52,14 @@ def test_flight_keeps_totals():
     assert len(f.open) <= 2
     assert sum(x[1] for x in taken) + left[0] == pytest.approx(sum(p * t for p, t, _ in rows), rel=1e-6)
     assert len(taken) + left[1] == pytest.approx(0.37 * 200, rel=1e-6)
+
+
+def test_no_source_misses_a_share_it_can_have(spark, prose):
+    rows = [(i, prose(200, i), "big" if i < 200 else "small", "x") for i in range(220)]
+    targets = spark.createDataFrame([("big", 0.93, 1), ("small", 0.07, 1)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame([r for r in rows if r[0] < 206], SCHEMA)
+    m = M.mix(df, targets)
+    for r in m.shares(m.draw()).collect():
+        assert abs(r["deviation"]) < 0.01
+    loose = M.mix(df, targets, short=0.1)
+    assert loose.total > 2 * m.total
