@@ -1,14 +1,16 @@
-"""Problem 9: long exact spans shared between records.
-
-Relative Lempel-Ziv in a form that needs no shared dictionary text. Reference blocks are the K-character blocks that winnowing picks (the least hash
-of every SPAN-K+1 consecutive ones): any two equal substrings of SPAN characters pick the same block at the same place. A block is indexed when
-texts of two documents hold it. Each document is then factored against the index: a factor grows while each further SPAN-window is found, by its
-block and the hash of the whole window, in another document; where that ends is the factor's boundary, checked at every position there. Factors of
-at least SPAN characters are the spans; adjoining or overlapping ones are one run.
-
-Only block hashes and, around indexed blocks, window hashes are shuffled (16 to 20 bytes each, once), never pairs of documents. Which of them two
-documents hold is told in one pass over sorted rows, with one row of state and no more held back than one document's repetitions of one hash, so a
-block that a third of all texts hold is read like any other; each of its windows is a hash, and a place, of its own.
+"""Problem 9: long exact spans shared between records, by relative Lempel-Ziv parsing.
+
+* Reference blocks. Winnowing picks the least hash of every SPAN-K+1 consecutive K-character blocks, so any two equal substrings of SPAN characters pick
+  the same block at the same place. A block that texts of two records hold is indexed, with the text around it, as it stands in the record of least
+  and of greatest key: two references for a block, however many records hold it.
+* Parsing. Each text is factored against the references of every indexed block it holds: a factor grows greedily, character by character, from the block
+  to both sides for as long as the text agrees with the reference. Factors of SPAN characters and more are duplicate spans of the text, compared by text.
+* Factor boundaries. Two records can share with each other what neither shares with a reference. Such windows of SPAN characters are not inside the
+  factors of both references, so only these, which lie across the ends of factors, are compared among all records, by their 64-bit hashes. A record that
+  is itself a reference counts only the factors of the other one; what it shares with third records alone is such a window on both sides.
+
+A block that a third of all records hold is counted by partial least and greatest keys, is joined with one row, which lets adaptive execution split its
+side, and is compared with two texts, not with all of its records.
 """
 
 from __future__ import annotations
@@ -22,14 +24,39 @@ from . import points as P
 from .tables import cut, prune, read, spread
 
 SPAN, BLOCK = 300, 200
+#: Rows compared at once.
+ROWS = 2048
+PLACE = np.uint64((1 << 28) - 1)
 
 
-def blocks(cp: np.ndarray, off: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each SPAN-window inside a row: (row, start, hash of its block)."""
-    least = P.window_min(P.grams(cp, k), span - k + 1)
+def blocks(cp: np.ndarray, off: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
+    """The reference blocks of the SPAN-windows: (row, place, first window, last window, hash); of equal hashes in a window the leftmost counts."""
+    h = P.grams(cp, k)
+    # the upper 36 bits of the hash decide, then the place
+    least = P.window_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), span - k + 1)
     row = P.rows_of(off)
     start = np.flatnonzero(row[: len(least)] == row[span - 1 : span - 1 + len(least)])
-    return row[start], start, least[start]
+    if not len(start):
+        return (start,) * 4 + (h[:0],)
+    at = (least[start] & PLACE).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[start[1:]] != row[start[:-1]])])
+    last = np.r_[new[1:], len(start)] - 1
+    return row[start[new]], at[new], start[new], start[last], h[at[new]]
+
+
+def agreeing(own: tuple, other: tuple, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters that agree to the left and to the right of the blocks' starts. Sides: (code points, offsets, place of the block in each row)."""
+    (x, xo, xp), (y, yo, yp) = own, other
+    a, b = xo[:-1] + xp, yo[:-1] + yp
+
+    def run(step: np.ndarray, size: np.ndarray) -> np.ndarray:
+        i, j = a[:, None] + step, b[:, None] + step
+        same = np.abs(step + (step < 0)) < size[:, None]
+        same &= x[np.clip(i, 0, max(len(x) - 1, 0))] == y[np.clip(j, 0, max(len(y) - 1, 0))]
+        return np.where(same.all(1), len(step), np.argmin(same, axis=1))
+
+    left = run(-np.arange(1, span + 1), np.minimum(xp, yp))
+    return left, run(np.arange(span), np.minimum(xo[1:] - a, yo[1:] - b))
 
 
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, block: int = BLOCK) -> DataFrame:
@@ -40,86 +67,108 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
     """
     kind = df.schema[key].dataType.simpleString()
     texts = df.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    reach = span - block
 
     def index(batches):
         for batch in batches:
             for a, _, cp, off in P.chunks(batch.column(1)):
-                row, _, h = blocks(cp, off, span, block)
+                row, _, _, _, h = blocks(cp, off, span, block)
                 row, h = distinct(row, h)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(h.view(np.int64))], ["_key", "_block"])
 
-    held = spread(texts).mapInArrow(index, f"_key {kind}, _block long")
-    wanted = cut(in_two(held, "_block", "_key").groupBy("_key").agg(F.collect_set("_block").alias("_blocks")))
+    held = cut(spread(texts).mapInArrow(index, f"_key {kind}, _block long"))
+    indexed = cut(held.groupBy("_block").agg(F.min("_key").alias("_one"), F.max("_key").alias("_two")).where("_one <> _two"))
+    wanted = prune(held, indexed, "_block").join(indexed, "_block").groupBy("_key").agg(F.collect_set("_block").alias("_blocks"))
+    wanted = cut(wanted)
 
-    def windows(batches):
+    def places(batches):
         for batch in batches:
             lists = batch.column(2)
             at = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for a, b, cp, off in P.chunks(batch.column(1)):
-                row, start, h = blocks(cp, off, span, block)
+                row, place, first, last, h = blocks(cp, off, span, block)
                 known = np.unique(P.mix(flat[at[a] : at[b]] ^ P.mix(np.repeat(np.arange(a, b), np.diff(at[a : b + 1])))))
                 mine = P.mix(h ^ P.mix(row + a))
-                slot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                keep = known[slot] == mine
-                row, start = row[keep], start[keep]
-                sums = P.prefix(cp)
-                whole = P.spans(sums, start, start + span)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array((start - off[row]).astype(np.int32)), pa.array(whole.view(np.int64))], ["_key", "_start", "_hash"])
+                keep = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+                row, place, first, last, h = row[keep], place[keep], first[keep], last[keep], h[keep]
+                begin, end = np.maximum(place - reach, off[row]), np.minimum(place + span, off[row + 1])
+                around = P.strings(cp[P.ragged(begin, end)], np.r_[0, np.cumsum(end - begin)])
+                base = off[row]
+                numbers = [pa.array(v.astype(np.int32)) for v in (place - base, first - base, last - base, place - begin)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row + a)), *numbers, around], ["_block", "_key", "_place", "_first", "_last", "_lead", "_around"])
 
     rest = prune(texts, wanted, "_key").join(wanted, "_key").select("_key", "_text", "_blocks")
-    every = rest.mapInArrow(windows, f"_key {kind}, _start int, _hash long")
-    starts = in_two(every, "_hash", "_key").select("_key", "_start")
-    factors = starts.groupBy("_key").agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
+    found = cut(rest.mapInArrow(places, f"_block long, _key {kind}, _place int, _first int, _last int, _lead int, _around string"))
+    # the references: the first place of the block in the records of least and greatest key
+    ends = found.join(indexed, "_block").where("_key = _one or _key = _two")
+    one, two = (F.min(F.when(F.col("_key") == F.col(c), F.struct("_place", "_lead", "_around"))) for c in ("_one", "_two"))
+    refs = ends.groupBy("_block").agg(F.first("_one").alias("_one"), F.first("_two").alias("_two"), one.alias("a"), two.alias("b"))
+    refs = refs.select("_block", "_one", "_two", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("_lead", "_around")))
+    side = found.join(refs, "_block").withColumns({"_is_a": F.col("_key") == F.col("_one"), "_is_b": F.col("_key") == F.col("_two")})
+
+    def factor(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, ROWS):
+                yield factored(batch.slice(s, ROWS), span, block)
+
+    columns = ["_key", "_place", "_first", "_last", "_lead", "_around", "_lead_a", "_around_a", "_lead_b", "_around_b", "_is_a", "_is_b"]
+    parsed = cut(side.select(*columns).mapInArrow(factor, f"_key {kind}, _start int, _end int, _hash long"))
+    across = parsed.where("_hash is not null")
+    both = across.groupBy("_hash").agg(F.min("_key").alias("_one"), F.max("_key").alias("_two")).where("_one <> _two").select("_hash")
+    more = prune(across, both, "_hash").join(both, "_hash").select("_key", "_start", "_end")
+    spans = parsed.where("_hash is null").select("_key", "_start", "_end").union(more)
+    lists = spans.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("_start", "_end"))).alias("_spans"))
 
     def runs(batches):
         for batch in batches:
-            lists = batch.column(1)
-            at = lists.offsets.to_numpy().astype(np.int64)
-            s = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[at[0] : at[-1]]
-            at = at - at[0]
-            row = P.rows_of(at)
-            if not len(s):
+            row = P.rows_of(batch.column(1).offsets.to_numpy().astype(np.int64) - batch.column(1).offsets[0].as_py())
+            if not len(row):
                 continue
-            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (s[1:] > s[:-1] + span)])
-            end = s[np.r_[new[1:], len(s)] - 1] + span
+            pairs = batch.column(1).flatten()
+            s, e = (pairs.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            # the running greatest end inside a row: rows are far apart on the shifted axis
+            far = int(e.max()) + 1
+            reached = np.maximum.accumulate(e + row * far)
+            new = np.flatnonzero(np.r_[True, s[1:] + row[1:] * far > reached[:-1]])
+            end = reached[np.r_[new[1:], len(s)] - 1] - row[new] * far
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(s[new].astype(np.int32)), pa.array(end.astype(np.int32))], [key, "span_start", "span_end"])
 
-    return factors.mapInArrow(runs, f"{key} {kind}, span_start int, span_end int")
-
-
-def in_two(df: DataFrame, group: str, key: str) -> DataFrame:
-    """The rows of df whose group has two or more keys: one shuffle, then one pass over the rows sorted by group and key."""
-
-    def flag(batches):
-        held: list[pa.RecordBatch] = []  # rows of the last group while it has one key only
-        state = None  # group and its first key; the key is dropped when the group is known to have two
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            g, k = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (group, key))
-            begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            end = np.r_[begin[1:], n]
-            multi = k[begin] != k[end - 1]
-            if state is not None and state[0] == g[0]:
-                multi[0] |= state[2] or state[1] != k[0]
-                first = state[1]
-                if multi[0]:
-                    yield from held
-                    held = []
-            else:
-                held, first = [], k[0]
-            keep = np.repeat(multi, end - begin)
-            if len(begin) > 1:
-                held, first = [], k[begin[-1]]
-            if not multi[-1]:
-                held.append(batch.slice(begin[-1]))
-            state = (g[-1], first, bool(multi[-1]))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    return df.repartition(group).sortWithinPartitions(group, key).mapInArrow(flag, df.schema)
+    return lists.mapInArrow(runs, f"{key} {kind}, span_start int, span_end int")
+
+
+def factored(batch: pa.RecordBatch, span: int, block: int) -> pa.RecordBatch:
+    """The factors of span characters and more (hash null), and the windows outside of the factors of both references with their hashes."""
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    place, first, last = (col[c].to_numpy().astype(np.int64) for c in ("_place", "_first", "_last"))
+    sides = []
+    for s in ("", "_a", "_b"):
+        _, _, cp, off = next(P.chunks(col["_around" + s], 1 << 62))
+        sides.append((cp, off, col["_lead" + s].to_numpy().astype(np.int64)))
+    starts, ends, owner = [], [], []
+    inside = []
+    for other, mine in ((sides[1], col["_is_a"]), (sides[2], col["_is_b"])):
+        left, right = agreeing(sides[0], other, span)
+        a, b = np.maximum(first, place - left), np.minimum(last, place + right - span)
+        b = np.where(right < block, a - 1, b)  # another block with the same hash
+        inside.append((a, b))
+        i = np.flatnonzero((a <= b) & ~mine.to_numpy(zero_copy_only=False))
+        owner.append(i)
+        starts.append(a[i])
+        ends.append(b[i] + span)
+    (a, b), (c, d) = inside
+    lo, hi = np.maximum(a, c), np.minimum(b, d)
+    lo, hi = np.where(lo > hi, last + 1, lo), np.where(lo > hi, last, hi)
+    i = np.r_[np.repeat(np.arange(len(first)), np.maximum(lo - first, 0)), np.repeat(np.arange(len(first)), np.maximum(last - hi, 0))]
+    s = np.r_[P.ragged(first, lo), P.ragged(hi + 1, last + 1)]
+    cp, off, lead = sides[0]
+    local = off[i] + lead[i] + s - place[i]
+    h = P.spans(P.prefix(cp), local, local + span).view(np.int64) if len(s) else np.zeros(0, np.int64)
+    done = sum(map(len, owner))
+    who = np.r_[tuple(owner) + (i,)].astype(np.int64)
+    hashes = pa.array(np.r_[np.zeros(done, np.int64), h], mask=np.r_[np.ones(done, bool), np.zeros(len(h), bool)])
+    start, end = np.r_[tuple(starts) + (s,)], np.r_[tuple(ends) + (s + span,)]
+    return pa.RecordBatch.from_arrays([col["_key"].take(pa.array(who)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), hashes], ["_key", "_start", "_end", "_hash"])
 
 
 def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
