@@ -64,6 +64,39 @@ def test_blocks_and_empty(spark, monkeypatch):
 
 
 def test_repetitions():
-    assert L.repetitions(0.99, 4, 1.0) == 1
-    r = L.repetitions(0.99, 4, 0.8)
-    assert 1 - (1 - 0.8**4) ** r >= 0.99 > 1 - (1 - 0.8**4) ** (r - 1)
+    assert L.repetitions(0.99, 1.0) == 1
+    r = L.repetitions(0.99, 0.4)
+    assert 1 - 0.6**r >= 0.99 > 1 - 0.6 ** (r - 1)
+
+
+def distance(a, b):
+    """The least edit distance of a and any beginning of b."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        last = row
+    return min(last)
+
+
+def test_edited_items(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(40)]
+    docs, near = [], set()
+    for d in range(200):
+        i, t = rng.choice(items)
+        u = t.split()[:15]
+        for _ in range(d % 4):
+            k = rng.randrange(len(u))
+            u[k : k + rng.choice((0, 1))] = [rng.choice(vocab)] if rng.random() < 0.6 else []
+        docs.append((d, " ".join([rng.choice(vocab) for _ in range(10)] + u)))
+    for d, t in docs:
+        u = units(t)
+        for i, x in items:
+            w = units(x)
+            if any(distance(w[a : a + 15], u[b : b + 17]) <= 2 for a in range(6) if set(w[a : a + 15]) & set(u) for b in range(len(u))):
+                near.add((d, i))
+    got = {tuple(r) for r in L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), distance=2).collect()}
+    assert got <= near and len(near) > 100 and len(got) >= 0.97 * len(near)
