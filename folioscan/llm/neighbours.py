@@ -2,14 +2,18 @@
 
 A hierarchical navigable small-world graph per shard (Malkov and Yashunin 2016), stored as flat neighbour arrays, shard results merged.
 
-Shards are the cells of pivots fitted on a bounded sample (spherical k-means on at most PIVOT_SAMPLE vectors); every vector is a member of its PROBES
-nearest cells, so close vectors on two sides of a border meet in one of them. The number of shards follows the number of rows, so a shard keeps its
-size at any scale; a shard that is too large all the same is split at random, and its vectors are queries in all of the parts. Equal vectors are one
-node with the least ids, so a mass of copies is one node.
+Equal vectors are one node with the k+1 least ids (a limit inside the partitions comes before their shuffle), so a mass of copies is one node, and what
+is found for a node is joined back to all of its ids. Shards are the cells of pivots fitted on a bounded sample (spherical k-means on at most PIVOT_SAMPLE
+vectors); every node is a member of its MEMBERS nearest cells, so close vectors on two sides of a border meet in one of them. Their number follows the
+number of nodes. What one sample can have as pivots is bounded, so cells that are too large, because of that or of dense regions, get pivots of their own
+from some of their nodes and are parted once more in the same way; no node is sent to all parts.
 
 In a shard the graph is built from the top: a level holds a random 1/RATIO of the nodes of the level below; each node of a level descends the graph
 above by beam search to its nearest anchors, nodes that meet at an anchor are compared as a block, and links are half the nearest and half the
-diversified candidates, plus reverse links. Then each node searches level 0 from its links. All steps run over all nodes of a level as numpy arrays.
+diversified candidates, plus reverse links. Then each asking node searches level 0 from its links. All steps run over all nodes of a level as numpy arrays.
+
+Two uses: all vectors ask, for neighbours that are near (a cosine of at least LEAST: a short search in their own cells finds these); or some vectors ask
+for their k nearest however far these are, in ASKED cells and by a long search, which is what isolated vectors need.
 """
 
 from __future__ import annotations
@@ -19,15 +23,20 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .points import mix
-from .tables import read, sampled, spread
+from . import points as P
+from .tables import cut, read, sampled, spread
 
 K, LEAST, DIMENSIONS = 5, 0.85, 64
-SHARD, PROBES, PIVOT_SAMPLE = 4_096, 2, 20_000
+SHARD, MEMBERS, PIVOT_SAMPLE = 4_096, 2, 20_000
 RATIO, LINKS, ANCHORS, EF, STEPS = 16, 12, 3, 24, 4
+#: Cells and length of the search of vectors that ask for their nearest however far they are.
+ASKED, LONG_EF, LONG_STEPS = 12, 128, 64
 BATCH = 2048
+#: Tasks of a cell that is parted.
+SALTS = 16
 
 
 def pivots(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
@@ -196,74 +205,48 @@ class Graph:
             start = beam(self.x, self.links[level], q, start, 2 * width, 4)[0][:, :width]
         return start
 
-    def search(self, q: np.ndarray, k: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, start: np.ndarray | None = None, ef: int = EF, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the k nearest; start: nodes of level 0 to begin at, else those found from the top."""
         if start is None:
-            start = self.descend(q, 0, ANCHORS)
-        node, sim = beam(self.x, self.links[0], q, start, max(EF, k), STEPS if start.shape[1] > ANCHORS else 4 * STEPS)
+            start, steps = self.descend(q, 0, ANCHORS), 4 * steps
+        node, sim = beam(self.x, self.links[0], q, start, max(ef, k), steps)
         return node[:, :k], sim[:, :k]
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, member: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, id of one of the k most similar, cosine) in one shard; only members are found, all rows ask."""
-    raw = np.ascontiguousarray(vectors, np.float32)
-    h = rowhash(raw.view(np.uint32))
-    o = np.lexsort((ids, h))
-    ids, raw, member, h = ids[o], raw[o], member[o], h[o]
-    again = np.r_[False, (h[1:] == h[:-1]) & (ids[1:] == ids[:-1])]
-    ids, raw, member, h = ids[~again], raw[~again], member[~again], h[~again]
-    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    node = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-    exact = raw[begin].astype(np.float64)
+def nearest(node: np.ndarray, lists: pa.ListArray, vectors: np.ndarray, member: np.ndarray, asks: np.ndarray, k: int, least: float, long: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, id, cosine) in one shard: the listed ids of the nodes nearest to each asking node, its own among them, k+1 at most."""
+    exact = np.ascontiguousarray(vectors, np.float32).astype(np.float64)
     exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-    # the k+1 least member ids of each node are enough: an id is not its own neighbour
-    seen = np.cumsum(member) - member
-    rank = seen - seen[begin][node]
-    listed = member & (rank <= k)
-    has = np.bincount(node[listed], minlength=len(begin))
-    first = np.searchsorted(node[listed], np.arange(len(begin)))
-    of = ids[listed]
-    nodes = np.flatnonzero(has)
-    if not len(nodes):
-        return ids[:0], ids[:0], np.zeros(0)
-    graph = Graph(exact[nodes].astype(np.float32))
-    back = np.empty(len(nodes), np.int64)
-    back[graph.order] = np.arange(len(nodes))
-    slot = np.full(len(begin), -1, np.int64)
-    slot[nodes] = back
-    asked = exact.astype(np.float32)
-    inside = slot >= 0
-    found = np.full((len(begin), k + 1), -1, np.int64)
-    found[inside] = graph.search(asked[inside], k + 1, np.hstack([slot[inside][:, None], graph.links[0][slot[inside]]]))[0]
-    if (~inside).any():
-        found[~inside] = graph.search(asked[~inside], k + 1)[0]
+    inside, rows = np.flatnonzero(member), np.flatnonzero(asks)
+    if not len(inside) or not len(rows):
+        return node[:0], node[:0], np.zeros(0)
+    graph = Graph(exact[inside].astype(np.float32))
+    slot = np.full(len(node), -1, np.int64)
+    slot[inside[graph.order]] = np.arange(len(inside))
+    effort = {"ef": LONG_EF, "steps": LONG_STEPS} if long else {}
+    found = np.full((len(node), k + 1), -1, np.int64)
+    for some, start in ((rows[slot[rows] >= 0], True), (rows[slot[rows] < 0], False)):
+        if len(some):
+            at = slot[some]
+            got = graph.search(exact[some].astype(np.float32), k + 1, np.hstack([at[:, None], graph.links[0][at]]) if start else None, **effort)[0]
+            found[some, : got.shape[1]] = got
+    own = rows[slot[rows] >= 0]
     r, c = np.nonzero(found >= 0)
-    other = nodes[graph.order[found[r, c]]]
+    r, other = np.r_[r, own], np.r_[inside[graph.order[found[r, c]]], own]
     cos = np.round(np.einsum("ed,ed->e", exact[r], exact[other]), 12)
-    cos[r == other] = 1.0
+    cos[node[r] == node[other]] = 1.0
     keep = cos >= least
     r, other, cos = r[keep], other[keep], cos[keep]
-    # nodes to ids: every id of the asking node, the listed ids of the other node
-    per = np.bincount(node, minlength=len(begin))[r]
-    asker = np.repeat(begin[r], per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-    other, cos = np.repeat(other, per), np.repeat(cos, per)
-    per = has[other]
-    a = np.repeat(ids[asker], per)
-    b = of[np.repeat(first[other], per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))]
-    cos = np.repeat(cos, per)
-    a, b, cos = a[a != b], b[a != b], cos[a != b]
+    at = lists.offsets.to_numpy().astype(np.int64)
+    ids = lists.values.to_numpy(zero_copy_only=False)
+    per = at[other + 1] - at[other]
+    a, b, cos = np.repeat(r, per), ids[P.ragged(at[other], at[other + 1])], np.repeat(cos, per)
     o = np.lexsort((b, -cos, a))
     a, b, cos = a[o], b[o], cos[o]
-    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-    return a[keep], b[keep], cos[keep]
-
-
-def rowhash(keys: np.ndarray) -> np.ndarray:
-    """64 bits of each row; -0.0 and 0.0 differ, which costs a node, no result."""
-    out = np.zeros(len(keys), np.uint64)
-    for column in keys.T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64))
-    return out
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (cos[1:] != cos[:-1])] if len(a) else np.zeros(0, bool)
+    a, b, cos = a[first], b[first], cos[first]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k + 1
+    return node[a[keep]], b[keep], cos[keep]
 
 
 def usable(vector: str, dimensions: int):
@@ -273,59 +256,150 @@ def usable(vector: str, dimensions: int):
     return v.isNotNull() & (F.size(v) == dimensions) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K, least: float = LEAST, dimensions: int = DIMENSIONS, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+def matrix(column: pa.Array, dimensions: int) -> np.ndarray:
+    """[rows, dimensions] of a column of packed vectors."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.zeros((0, dimensions), np.float32)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.float32, len(column) * dimensions, offset=at).reshape(-1, dimensions)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return (v / np.maximum(np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+def nearest_cells(v: np.ndarray, centre: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, place among the row's nearest) of the many[row] nearest cells of each row."""
+    width = min(int(many.max()), len(centre))
+    cell = np.concatenate([top(v[a : a + BATCH] @ centre.T, width) for a in range(0, len(v), BATCH)])
+    r, p = np.nonzero(np.arange(width) < many[:, None])
+    return r, cell[r, p], p
+
+
+ROUTED = "cell int, part int, node long, ids array<long>, v binary, member boolean, asks boolean"
+
+
+def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K, least: float = LEAST, dimensions: int = DIMENSIONS, shard: int = SHARD, asked=None) -> DataFrame:
     """(id, other, cosine): for each usable vector its k most similar others with a cosine of at least `least`, ties to the smaller id.
 
-    Vectors that are null, all zero, of another length or not finite, and null keys, take no part. Rows repeated in full count once; a key with several
-    vectors is as near as its nearest. An empty table gives no row. Recall against brute force is in the README.
+    asked: a condition on the rows; only these ask, of all rows, by the long search in ASKED cells. Vectors that are null, all zero, of another length or
+    not finite, and null keys, take no part. Rows repeated in full count once; a key with several vectors is as near as its nearest. An empty table gives
+    no row. Recall against brute force is in the README.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(key).isNotNull() & usable(vector, dimensions)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    taken = rows.count()
-    sample = sampled(rows, PIVOT_SAMPLE, "id", taken).select("v")
-    x = np.array([r[0] for r in sample.toLocalIterator()], np.float32).reshape(-1, dimensions)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    ask = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    usual = df.where(F.col(key).isNotNull() & usable(vector, dimensions))
+    rows = usual.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), ask.alias("asks")).withColumn("node", F.xxhash64("v"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("id"))
+    # the limit is taken inside the partitions before the shuffle, and again after it
+    once = spread(rows.groupBy("node", "id").agg(F.first("v").alias("v"))).withColumn("place", place).where(F.col("place") <= k + 1)
+    nodes = once.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
+    if asked is not None:
+        nodes = nodes.join(rows.where("asks").select("node").distinct().withColumn("asks", F.lit(True)), "node", "left")
+    else:
+        nodes = nodes.withColumn("asks", F.lit(True))
+
+    def packed(batches):
+        for batch in batches:
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            ends = pa.py_buffer(np.arange(0, 4 * dimensions * (batch.num_rows + 1), 4 * dimensions, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(v.tobytes())]), batch.column(3)], ["node", "ids", "v", "asks"])
+
+    nodes = cut(nodes.select("node", "ids", "v", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(packed, "node long, ids array<long>, v binary, asks boolean"))
+    taken = nodes.count()
+    sample = sampled(nodes.select("node", "v"), PIVOT_SAMPLE, "node", taken).select("v")
+    x = unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample.toLocalIterator()), np.float32).reshape(-1, dimensions))
     centre = spark.sparkContext.broadcast(pivots(x, max(1, min(len(x) // 8, math.ceil(taken / shard)))) if len(x) else np.zeros((1, dimensions), np.float32))
+    long, wide = asked is not None, ASKED if asked is not None else MEMBERS
 
     def route(batches):
-        c = centre.value
         for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            v = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-            if not len(ids):
+            if not batch.num_rows:
                 continue
-            unit = v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
-            cell = np.concatenate([top(unit[a : a + BATCH].astype(np.float32) @ c.T, probes) for a in range(0, len(v), BATCH)])
-            ends = pa.py_buffer(np.arange(0, 4 * dimensions * (len(v) + 1), 4 * dimensions, np.int32).tobytes())
-            packed = pa.Array.from_buffers(pa.binary(), len(v), [None, ends, pa.py_buffer(np.ascontiguousarray(v, np.float32).tobytes())])
-            for p in range(cell.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(cell[:, p].astype(np.int32)), pa.array(ids), packed], ["cell", "id", "v"])
-
-    routed = spread(rows).mapInArrow(route, "cell int, id long, v binary")
-    # cells beyond four times the usual size: members are dealt to parts, every row asks in all of them (few cells, so the counts are small)
-    sizes = routed.groupBy("cell").count().where(F.col("count") > 4 * shard * probes).withColumn("parts", F.ceil(F.col("count") / (2 * shard * probes)).cast("int"))
-    large = {r["cell"]: r["parts"] for r in sizes.toLocalIterator()} if taken > 4 * shard else {}
-    parts = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("cell")] if large else F.lit(1)
-    dealt = routed.withColumn("parts", F.coalesce(parts, F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cell", "part", "id", "v", (F.pmod(F.xxhash64("v"), F.col("parts")) == F.col("part")).alias("member"))
+            node, ids, v, asks = batch.columns
+            asking = asks.to_numpy(zero_copy_only=False)
+            r, cell, p = nearest_cells(unit(matrix(v, dimensions)), centre.value, np.where(asking, wide, MEMBERS))
+            yield routed(cell, np.zeros(len(r), np.int32), node, ids, v, r, p < MEMBERS, asking[r])
+
+    first = nodes.mapInArrow(route, ROUTED)
+    # the members of the cells, judged by an eighth of the nodes; one small row for each cell that is too large
+    eighth = nodes.where(F.pmod(F.shiftright("node", 7), F.lit(8)) == 0).mapInArrow(route, ROUTED).where("member")
+    most = 4 * shard * MEMBERS
+    large = cut(eighth.groupBy("cell").count().where(F.col("count") * 8 > most).select("cell", F.lit(1 / (shard * MEMBERS)).alias("share")))
+    if large.limit(1).count():
+        first = parted(first, large, dimensions, wide)
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        v = table.column("v").chunk(0)
-        x = np.frombuffer(v.buffers()[2], np.float32, len(v) * dimensions, offset=np.frombuffer(v.buffers()[1], np.int32)[v.offset]).reshape(-1, dimensions)
-        a, b, cos = nearest(table.column("id").to_numpy(), x, table.column("member").to_numpy(zero_copy_only=False), k, least)
-        return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(cos, pa.float64())})
-
-    near = dealt.groupBy("cell", "part").applyInArrow(solve, "id long, other long, cosine double")
-    best = near.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k).alias("n"))
+        flags = [table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("member", "asks")]
+        lists = table.column("ids").chunk(0)
+        a, b, cos = nearest(table.column("node").to_numpy(), lists, matrix(table.column("v"), dimensions), *flags, k, least, long)
+        return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(cos, pa.float64())})
+
+    near = first.groupBy("cell", "part").applyInArrow(solve, "node long, other long, cosine double")
+    best = near.groupBy("node", "other").agg(F.max("cosine").alias("cosine"))
+    found = best.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k + 1).alias("n"))
+    # every id of a node has the others of its node, but for itself
+    mine = rows.where("asks").select("node", "id").distinct().join(found, "node")
+    rest = mine.select("id", F.explode(F.slice(F.filter("n", lambda x: x["other"] != F.col("id")), 1, k)).alias("n"))
+    pairs = rest.groupBy("id", "n.other").agg(F.max(-F.col("n.c")).alias("cosine"))
+    ranked = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("other")))), 1, k).alias("n"))
     return ranked.select("id", F.explode("n").alias("n")).select("id", F.col("n.other").alias("other"), (-F.col("n.c")).alias("cosine"))
 
 
+def routed(cell, part, node, ids, v, r, member, asks) -> pa.RecordBatch:
+    at = pa.array(r)
+    columns = [pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), node.take(at), ids.take(at), v.take(at), pa.array(member), pa.array(asks)]
+    return pa.RecordBatch.from_arrays(columns, ["cell", "part", "node", "ids", "v", "member", "asks"])
+
+
+def parted(first: DataFrame, large: DataFrame, dimensions: int, wide: int) -> DataFrame:
+    """Rows of large cells go to their nearest parts in the cell, whose pivots are some of its members, as many as there are to be parts.
+
+    A cell is dealt to SALTS tasks by the hashes of its nodes, and its pivots are sent to each of them ahead of the nodes.
+    """
+    flagged = first.join(F.broadcast(large), "cell", "left")  # one row for a cell, so at most PIVOT_SAMPLE / 8
+    some = flagged.where("share is not null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    chosen = some.where("member").where(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("salt")
+    heads = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    columns = ["cell", "salt", "head", "node", "ids", "v", "member", "asks"]
+    both = heads.withColumn("head", F.lit(0)).select(columns).union(some.withColumn("head", F.lit(1)).select(columns))
+
+    def route(batches):
+        at, pivots_ = None, np.zeros((0, dimensions), np.float32)
+        for batch in batches:
+            cell, salt, head = (batch.column(i).to_numpy() for i in range(3))
+            node, ids, v, member, asks = batch.columns[3:]
+            x = unit(matrix(v, dimensions))
+            begin = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1])]) if len(cell) else []
+            for a, b in zip(begin, np.r_[begin[1:], len(cell)]):
+                if at != (cell[a], salt[a]):
+                    at, pivots_ = (cell[a], salt[a]), pivots_[:0]
+                c = a + int((head[a:b] == 0).sum())
+                pivots_ = np.concatenate([pivots_, x[a:c]])
+                if c == b:
+                    continue
+                inside, asking = (f.to_numpy(zero_copy_only=False)[c:b].astype(bool) for f in (member, asks))
+                centre = pivots_ if len(pivots_) else np.zeros((1, dimensions), np.float32)
+                r, part, p = nearest_cells(x[c:b], centre, np.where(asking, max(MEMBERS, wide // 2), MEMBERS))
+                yield routed(np.full(len(r), cell[a]), part + 1, node, ids, v, r + c, inside[r] & (p < MEMBERS), asking[r])
+
+    dealt = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "head").mapInArrow(route, ROUTED)
+    return flagged.where("share is null").select("cell", "part", "node", "ids", "v", "member", "asks").union(dealt)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = knn(read(spark, sf_dir, "semantic_chunks"))
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all chunks, however far, for every chunk whose id is divisible by 100."""
+    return knn(read(spark, sf_dir, "semantic_chunks"), least=-2.0, asked=F.col("chunk_id") % 100 == 0).withColumnsRenamed({"id": "chunk_id", "other": "near_id"})
+
+
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}
 SQL: dict[str, str] = {}

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioscan.llm import neighbours as N
 
@@ -46,13 +47,14 @@ def test_dirty_copies_and_ties(spark):
 
 def test_large_cell_is_split(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=64) + 0.2 * rng.normal(size=(600, 64))
+    x = rng.normal(size=64) + (0.3 * rng.normal(size=(100, 1, 64)) + 0.05 * rng.normal(size=(100, 6, 64))).reshape(-1, 64)
     ids = list(range(600))
     want = brute(ids, x.astype(np.float32), 5, 0.85)
-    got = {(r["id"], r["other"]) for r in N.knn(frame(spark, ids, x), shard=30, probes=1).collect()}
+    got = {(r["id"], r["other"]) for r in N.knn(frame(spark, ids, x), shard=30).collect()}
     assert len(got) and all(N_ in set(ids) for p in got for N_ in p)
     monkeypatch.setattr(N, "pivots", lambda sample, count: sample[:1])
-    got = {(r["id"], r["other"]) for r in N.knn(frame(spark, ids, x), shard=30, probes=1).collect()}
+    monkeypatch.setattr(N, "SALTS", 3)
+    got = {(r["id"], r["other"]) for r in N.knn(frame(spark, ids, x), shard=30).collect()}
     assert len(want & got) / len(want) > 0.9
 
 
@@ -65,3 +67,24 @@ def test_graph_finds_what_brute_force_finds():
     want = N.top(x[:200] @ x.T, 5)
     hit = np.mean([len(set(g.order[a[a >= 0]]) & set(b)) / 5 for a, b in zip(node, want)])
     assert hit > 0.9
+
+
+def test_far_neighbours(spark):
+    """Isolated vectors: the five nearest of all, however far, for some of the rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    ids = list(range(4000))
+    df = frame(spark, ids, x)
+    got = {(r["id"], r["other"]) for r in N.knn(df, least=-2.0, shard=400, asked=F.col("chunk_id") % 20 == 0).collect()}
+    want = {p for p in brute(ids, x.astype(np.float32), 5, -2) if p[0] % 20 == 0}
+    assert len(got) == 1000 and len(want & got) / len(want) >= 0.9
+
+
+def test_a_third_is_one_vector(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=64)
+    x = [a if i % 3 == 0 else rng.normal(size=64) for i in range(300)]
+    got = {}
+    for r in N.knn(frame(spark, range(300), x)).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert set(got) == set(range(0, 300, 3)) and got[0] == {3, 6, 9, 12, 15} and got[297] == {0, 3, 6, 9, 12} and got[6] == {0, 3, 9, 12, 15}
