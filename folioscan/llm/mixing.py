@@ -3,8 +3,9 @@
 The cube method (Deville and Tille 2004; fast flight of Chauvet and Tille 2006). Each source gets an expected number of copies per document, its
 share of the wanted total over its tokens; the whole part is taken for sure and the fraction is an inclusion probability. The flight phase takes
 three open documents of a source at a time and moves their probabilities along the null space of the two constraints (tokens and documents),
-until one of them is 0 or 1, so both totals stay exact. It runs in every partition on its own; the few documents each leaves open per source are flown again
-per source, and the last few are decided in the landing phase by the least deviation from the target tokens.
+until one of them is 0 or 1, so both totals stay exact. It runs in every stratum of a source on its own, in the order of the keys; strata are taken by the
+hash of the key, as many as the number of the source's documents asks for, so the draw depends on tables and seed only, not on partitions. The few
+documents each stratum leaves open are flown again per source, and the last few are decided in the landing phase by the least deviation from the target tokens.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ GREAT = 0.03
 SHORT = 0.0
 #: Documents of a source that are left to the landing phase, besides the two of the flight.
 LANDED = 8
+#: Documents of a stratum.
+STRATUM = 20_000
 
 
 def encoder(path: str = TOKENIZER):
@@ -49,7 +52,7 @@ def token_counts(df: DataFrame, key: str, text: str, source: str, path: str = TO
     def count(batches):
         e = encoder(path)
         for batch in batches:
-            n = [len(e.encode_ordinary(t.as_py())) for t in batch.column(2)]
+            n = [len(x) for x in e.encode_ordinary_batch(batch.column(2).to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
     return rows.mapInArrow(count, "doc_id long, source string, tokens long")
@@ -152,23 +155,15 @@ class Mixture:
         def batch(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64()))], ["doc_id", "source", "tokens", "copies", "open"])
 
-        def fly(batches):
-            flights: dict[str, Flight] = {}
-            for b in batches:
-                out = []
-                for who, source, tokens in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "source", "tokens"))):
-                    r = rate.get(source)
-                    if not r or tokens > bound.get(source, math.inf):
-                        continue
-                    sure, p = whole(r)
-                    if source not in flights:
-                        flights[source] = Flight(zlib.crc32(f"{seed} {source} {who}".encode()), LANDED + 2)
-                    for i, t, taken in flights[source].step(p, tokens, who):
-                        if sure + taken:
-                            out.append((i, source, t, sure + taken, None))
-                if out:
-                    yield batch(out)
-            yield batch([(x[2], s, x[1], whole(rate[s])[0], x[0]) for s, f in flights.items() for x in f.open])
+        def fly(table: pa.Table) -> pa.Table:
+            o = table.sort_by("doc_id")
+            source, stratum = table.column("source")[0].as_py(), table.column("stratum")[0].as_py()
+            (sure, p), most = whole(rate[source]), bound.get(source, math.inf)
+            flight, out = Flight(zlib.crc32(f"{seed} {source} {stratum}".encode()), LANDED + 2), []
+            for who, tokens in zip(o.column("doc_id").to_pylist(), o.column("tokens").to_pylist()):
+                if tokens <= most:
+                    out += [(i, source, t, sure + taken, None) for i, t, taken in flight.step(p, tokens, who) if sure + taken]
+            return pa.Table.from_batches([batch(out + [(x[2], source, x[1], sure, x[0]) for x in flight.open])])
 
         def land(table: pa.Table) -> pa.Table:
             rows = sorted(table.to_pylist(), key=lambda r: r["doc_id"])
@@ -181,8 +176,11 @@ class Mixture:
             source, sure = rows[0]["source"], rows[0]["copies"]
             return pa.Table.from_batches([batch([(i, source, t, sure + taken, None) for i, t, taken in done if sure + taken])])
 
-        flown = cut(self.tokens.mapInArrow(fly, schema))
-        # at most LANDED + 2 open documents of each partition and source: enough to land on, also where there is one partition only
+        # a stratum's size is bounded by the counts known, whatever share of the rows a source has
+        counts = self.tokens.sparkSession.createDataFrame([(s, max(1, math.ceil(self.have[s][1] / STRATUM))) for s, r in rate.items() if r] or [("", 1)], "source string, strata int")
+        dealt = self.tokens.join(F.broadcast(counts), "source").withColumn("stratum", F.pmod(F.xxhash64("doc_id"), F.col("strata")).cast("int")).drop("strata")
+        flown = cut(dealt.groupBy("source", "stratum").applyInArrow(fly, schema))
+        # at most LANDED + 2 open documents of each stratum
         rest = flown.where("open is not null").groupBy("source").applyInArrow(land, schema)
         first = self.great.where(F.col("source").isin(list(bound)) & (F.col("copies") > 0)).select("doc_id", "source", "tokens", "copies")
         return flown.where("open is null").union(rest).select("doc_id", "source", "tokens", "copies").union(first)
@@ -209,7 +207,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     it is the most at which the sources that cannot, for all of their documents taken max_repeats times, make up at most `short` of all shares. Those are taken whole, sources without documents get nothing, and the others keep their proportions; feasible_share
     is what then is possible for each. Documents with null or empty text, null key or a source that is no target are not drawn; rows repeated under one
     key count once, with the least source; sources are compared without case and outer blanks; a source given twice has the sum of its shares; a null max_repeats counts as 1. Equal token counts leave the constraints
-    exact. Other columns are not read. Same tables and seed, same draw (for the same partitions).
+    exact. Other columns are not read. Same tables and seed, same draw, however the rows are partitioned.
     """
     return Mixture(docs, targets, total, seed, path, short)
 

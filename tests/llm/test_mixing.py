@@ -63,3 +63,10 @@ def test_no_source_misses_a_share_it_can_have(spark, prose):
         assert abs(r["deviation"]) < 0.01
     loose = M.mix(df, targets, short=0.1)
     assert loose.total > 2 * m.total
+
+
+def test_draw_does_not_depend_on_partitions(spark, prose, monkeypatch):
+    monkeypatch.setattr(M, "STRATUM", 40)
+    df, t = docs(spark, prose), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    draws = [sorted(map(tuple, M.mix(df.repartition(n), t).draw().collect())) for n in (1, 7)]
+    assert draws[0] == draws[1] and draws[0]
