@@ -2,13 +2,15 @@
 
 Clean words are counted over the whole corpus: words with letters beyond ASCII, runs of such characters inside them, and pairs of adjoining ideographs.
 Each is written in one encoding and read in another, along every chain of CHAINS, which gives the table of garbled forms (form, original, chain).
-A form that is itself a usual word of the corpus is dropped by a join with the counts, unless it is so only by lines that repeat. The documents' tokens (words, runs, and runs of 2, 3, 4 and 6
-characters of text beyond ASCII) are then hash-joined with the table; what matches, and every replacement character, is garbled. The table is
-read by blocks of bounded size, so the documents are shuffled only once, by line, to count the lines that repeat.
+A form that is itself a usual word of the corpus is dropped by a join with the counts, unless it is so only by lines that repeat. The documents' tokens (words, runs, words
+with ideographs between their letters, and text beyond ASCII in the lengths the forms of ideographs have) are then hash-joined with the table; what
+matches, and every replacement character, is garbled. The table stays distributed: a filter of fixed size, made of its hashes, keeps all but a few of the
+tokens that match nothing from being shuffled, and a record's matches are judged together, however large the table is.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import points as P
-from .tables import cut, prune, read, spread
+from .tables import Sieve, cut, prune, read, spread
 
 # Fixed values: (written, read) of each step of a chain; ansi is Windows-1252 with its five undefined bytes kept as control characters.
 CHAINS = (
@@ -48,12 +50,11 @@ CHAINS = (
     (("utf-8", "ansi"), ("utf-8", "ansi")),
     (("utf-8", "latin-1"), ("utf-8", "latin-1")),
 )
-#: A word is clean if it occurs so often; a garbled form is dropped if it occurs more than USUAL times as often as its original in distinct
-#: lines; if it stands in no more distinct lines than the original, it is kept where its count over all lines is within USUAL too.
-CLEAN, USUAL = 5, 0.25
-GRAMS = (2, 3, 4, 6)
-#: Forms of one pass over the documents.
-FORM_BLOCK = 400_000
+#: A garbled form is dropped if it occurs more than USUAL times as often as its original in distinct lines; if it stands in no more distinct lines than
+#: the original, it is kept where its count over all lines is within USUAL too. A word that occurs less than CLEAN times can have no form that occurs
+#: and is kept, so it need not be garbled.
+USUAL = 0.25
+CLEAN = math.ceil(1 / USUAL)
 LOST = 0xFFFD
 WIDE = re.compile("[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 
@@ -113,15 +114,21 @@ def stretches(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def tokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of words with a character beyond ASCII, and of the runs of such characters that are not the whole word."""
+    """(starts, ends) of words with a character beyond ASCII, of the runs of such characters that are not the whole word, and of words of Latin letters
+    and ideographs: some chains turn an accented letter, or it and the next one, into an ideograph."""
     high, wide, word = shape(cp)
     s, e = stretches(word, off)
     count = np.concatenate([[0], np.cumsum(high)])
     some = count[e] > count[s]
     s, e = s[some], e[some]
     rs, re_ = stretches(high & ~wide, off)
-    o = np.lexsort((np.r_[e, re_], np.r_[s, rs]))
-    s, e = np.r_[s, rs][o], np.r_[e, re_][o]
+    ideograph = wide & (cp >= 0x3400) & ((cp < 0xFF00) | (cp >= 0x20000))
+    ms, me = stretches(word | ideograph, off)
+    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (word & ~high, ideograph))
+    mixed = (letters[me] - letters[ms] > 1) & (signs[me] > signs[ms])
+    ms, me = ms[mixed], me[mixed]
+    o = np.lexsort((np.r_[e, re_, me], np.r_[s, rs, ms]))
+    s, e = np.r_[s, rs, ms][o], np.r_[e, re_, me][o]
     new = np.r_[True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])] if len(s) else np.zeros(0, bool)
     return s[new], e[new]
 
@@ -204,7 +211,9 @@ def forms(words: DataFrame) -> DataFrame:
     wide = r"[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
     pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length("form") - 1), lambda i: F.substring(F.col("form"), i, F.lit(2))), lambda p: p.rlike(wide + "{2}"))
     lone = F.regexp_extract_all("form", F.lit(f"(?<!{wide})({wide})(?!{wide})"), F.lit(1))
-    parts = best.select("form", "gram", "original", "chain", "n", "d", F.explode(F.array_distinct(F.concat(F.array("form"), pairs, lone))).alias("token"))
+    # among Latin letters an ideograph is no usual one, however often it stands elsewhere
+    within = F.when(~F.col("gram") & F.col("form").rlike("[A-Za-z]"), F.array("form")).otherwise(F.concat(F.array("form"), pairs, lone))
+    parts = best.select("form", "gram", "original", "chain", "n", "d", F.explode(F.array_distinct(within)).alias("token"))
     counts = words.select("token", F.col("n").alias("own"), F.col("d").alias("own_d"))
     own = parts.join(counts, "token", "left").groupBy("form", "gram", "original", "chain", "n", "d").agg(*(F.max(F.coalesce(c, F.lit(0))).alias(c) for c in ("own", "own_d")))
     return own.where((F.col("own_d") <= USUAL * F.col("d")) | (F.col("own") <= USUAL * F.col("n")) & (F.col("own_d") <= F.col("d"))).select("form", "original", "chain", "gram")
@@ -215,96 +224,73 @@ def kinded(h: np.ndarray, gram) -> np.ndarray:
     return P.mix(h ^ np.where(gram, np.uint64(1), np.uint64(0)))
 
 
-class Table:
-    """A block of forms as sorted hashes."""
-
-    def __init__(self, rows: list):
-        text = pa.array([r[0] for r in rows], pa.string())
-        parts = [(P.spans(P.prefix(cp), off[:-1], off[1:]), np.diff(off)) for _, _, cp, off in P.chunks(text)]
-        h = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.uint64)
-        size = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, np.int64)
-        gram = np.array([bool(r[3]) for r in rows], bool)
-        h = kinded(h, gram)
-        o = np.argsort(h, kind="stable")
-        self.hash, self.size = h[o], size[o]
-        self.chain = np.array([r[2] for r in rows], np.int16)[o] if rows else np.zeros(0, np.int16)
-        self.gate = np.zeros(1 << 22, bool)
-        self.gate[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, -1 where it has none."""
-        out = np.full(len(h), -1, np.int64)
-        if len(self.hash):
-            i = np.flatnonzero(self.gate[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(self.hash, h[i]), len(self.hash) - 1)
-            ok = self.hash[slot] == h[i]
-            out[i[ok]] = slot[ok]
-        return out
-
-    def hits(self, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, chain) of the garbled tokens; -1 as chain of lost characters."""
-        sums = P.prefix(cp)
-        s, e = tokens(cp, off)
-        slot = self.find(kinded(P.spans(sums, s, e), False))
-        out = [(s[slot >= 0], e[slot >= 0], self.chain[slot[slot >= 0]])]
-        high = cp >= 0x80
-        count = np.concatenate([[0], np.cumsum(high)])
-        row = P.rows_of(off)
-        for n in GRAMS:
-            i = np.flatnonzero(high[: max(0, len(cp) - n + 1)])
-            # the second byte of a Big5 or GB character can be ASCII, so half of the characters may be
-            i = i[(count[i + n] - count[i] >= (n + 1) // 2) & (row[i] == row[i + n - 1])] if len(i) else i
-            slot = self.find(kinded(P.spans(sums, i, i + n), True))
-            i, slot = i[slot >= 0], slot[slot >= 0]
-            out.append((i, i + n, self.chain[slot]))
-        lost = np.flatnonzero(cp == LOST)
-        out.append((lost, lost + 1, np.full(len(lost), -1, np.int16)))
-        return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
-
-
-def garbled(df: DataFrame, key: str = "segment_row_id", text: str = "content", by_chain: bool = False) -> DataFrame:
-    """(key) of the rows whose text holds a garbled token; with by_chain (key, chain, hits, spans), spans being the stretches of adjoining tokens.
+def hashed(table: DataFrame) -> DataFrame:
+    """(hash, size, gram, chain) of the forms."""
+
+    def add_hash(batches):
+        for batch in batches:
+            gram = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, cp, off in P.chunks(batch.column(0)):
+                h = kinded(P.spans(P.prefix(cp), off[:-1], off[1:]), gram[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.diff(off).astype(np.int32)), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["hash", "size", "gram", "chain"])
+
+    return table.select("form", "gram", "chain").mapInArrow(add_hash, "hash long, size int, gram boolean, chain int")
+
+
+def passing(cp: np.ndarray, off: np.ndarray, sieve: Sieve, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the tokens that may be forms."""
+    sums = P.prefix(cp)
+    s, e = tokens(cp, off)
+    h = kinded(P.spans(sums, s, e), False)
+    i = sieve.passes(h)
+    out = [(s[i], e[i], h[i])]
+    high = cp >= 0x80
+    count = np.concatenate([[0], np.cumsum(high)])
+    row = P.rows_of(off)
+    for n in sizes:
+        i = np.flatnonzero(high[: max(0, len(cp) - n + 1)])
+        # the second byte of a Big5 or GB character can be ASCII, so half of the characters may be
+        i = i[(count[i + n] - count[i] >= (n + 1) // 2) & (row[i] == row[i + n - 1])] if len(i) else i
+        h = kinded(P.spans(sums, i, i + n), True)
+        some = sieve.passes(h)
+        out.append((i[some], i[some] + n, h[some]))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
+def matches(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _h, start, end, chain) of the tokens that are garbled forms. rows: key, _h, _text."""
+    table = cut(hashed(forms(cut(vocabulary(rows.select("_text"))))))
+    # a few numbers: the lengths that ideographs have after a chain
+    sizes = sorted(r[0] for r in table.where("gram").select("size").distinct().collect())
+    shared = rows.sparkSession.sparkContext.broadcast(Sieve(table.select("hash")).words)
+
+    def scan(batches):
+        sieve = object.__new__(Sieve)
+        sieve.words = shared.value
+        for batch in batches:
+            for a, _, cp, off in P.chunks(batch.column(2)):
+                s, e, h = passing(cp, off, sieve, sizes)
+                row = np.searchsorted(off, s, "right") - 1
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((s - off[row]).astype(np.int32)), pa.array((e - off[row]).astype(np.int32)), pa.array(h.view(np.int64))], [key, "_h", "start", "end", "hash"])
+
+    held = rows.mapInArrow(scan, f"{key} long, _h long, start int, end int, hash long")
+    return held.join(table.select("hash", "chain"), "hash").select(key, "_h", "start", "end", "chain")
+
+
+def usual(df: DataFrame, key: str, text: str) -> DataFrame:
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return spread(rows.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("_h"), F.col(text).alias("_text")))
+
+
+def garbled(df: DataFrame, key: str = "segment_row_id", text: str = "content") -> DataFrame:
+    """(key) of the rows whose text holds a garbled token or a replacement character.
 
     Null and empty texts hold none; rows repeated in full give one row; null keys are left out; other columns are not read.
     """
-    rows = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")))
-    words = cut(vocabulary(rows.select("_text")))
-    table = forms(words)
-    spark = df.sparkSession
-
-    def scan_with(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Table(block))
-
-        def scan(batches):
-            t = shared.value
-            for batch in batches:
-                for a, _, cp, off in P.chunks(batch.column(1)):
-                    s, e, chain = t.hits(cp, off)
-                    row = np.searchsorted(off, s, "right") - 1
-                    if not by_chain:
-                        row = np.unique(row)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a))], [key])
-                        continue
-                    group, first, last, n = islands(row * 1000 + chain + 1, s, e)
-                    owner = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-                    ends = np.r_[owner, len(group)].astype(np.int32)
-                    base = off[group // 1000]
-                    spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["start", "end"]))
-                    both = group[owner]
-                    hits = np.add.reduceat(n, owner) if len(owner) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both // 1000 + a)), pa.array((both % 1000 - 1).astype(np.int32)), pa.array(hits.astype(np.int64)), spans], [key, "chain", "hits", "spans"])
-
-        return rows.mapInArrow(scan, f"{key} long" + ", chain int, hits long, spans array<struct<start:int,end:int>>" * by_chain)
-
-    found, block = None, []
-    for r in table.toLocalIterator():
-        block.append(r)
-        if len(block) == FORM_BLOCK:
-            part = scan_with(block)
-            found, block = part if found is None else found.union(part), []
-    part = scan_with(block)
-    found = part if found is None else found.union(part)
-    return found.dropDuplicates([key, "chain", "spans"]) if by_chain else found.distinct()
+    rows = usual(df, key, text)
+    lost = rows.where(F.contains("_text", F.lit(chr(LOST)))).select(key)
+    return matches(rows, key).select(key).union(lost).distinct()
 
 
 def islands(group: np.ndarray, s: np.ndarray, e: np.ndarray, gap: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -335,10 +321,10 @@ def repair(text: str, found: list[dict]) -> tuple[str, bool]:
     """The text with its garbled stretches undone, each only if garbling gives exactly it again, and whether none is left. found: chain, hits, spans."""
     done: list[tuple[int, int, str]] = []
     left = "\ufffd" in text
-    for f in sorted((f for f in found if f["chain"] >= 0), key=lambda f: (-f["hits"], f["chain"])):
+    # the chain that explains most of the text comes first; no stretch reaches over a lost character
+    for f in sorted(found, key=lambda f: (-sum(x["end"] - x["start"] for x in f["spans"]), -f["hits"], f["chain"])):
         chain = CHAINS[f["chain"]]
-        for span in f["spans"]:
-            s, e = span["start"], span["end"]
+        for s, e in ((x["start"] + m.start(), x["start"] + m.end()) for x in f["spans"] for m in re.finditer("[^\ufffd]+", text[x["start"] : x["end"]])):
             if any(a < e and s < b for a, b, _ in done):
                 continue
             for i, j in widths(chain):
@@ -356,18 +342,35 @@ def repair(text: str, found: list[dict]) -> tuple[str, bool]:
     return text, not left
 
 
+def stretched(tokens_: list[dict]) -> list[dict]:
+    """The matches of a record by chain, adjoining ones as one stretch, as repair() takes them."""
+    chain, s, e = (np.array([x[c] for x in tokens_], np.int64) for c in ("chain", "start", "end"))
+    group, first, last, n = islands(chain, s, e)
+    out: dict[int, dict] = {}
+    for c, a, b, k in zip(group.tolist(), first.tolist(), last.tolist(), n.tolist()):
+        f = out.setdefault(c, {"chain": c, "hits": 0, "spans": []})
+        f["hits"] += k
+        f["spans"].append({"start": a, "end": b})
+    return list(out.values())
+
+
 def restored(df: DataFrame, key: str = "segment_row_id", text: str = "content") -> DataFrame:
-    """(key, restored, complete) of the garbled rows: chains with most hits first; complete is false where characters were lost."""
-    found = garbled(df, key, text, by_chain=True).groupBy(key).agg(F.collect_list(F.struct("chain", "hits", "spans")).alias("found"))
-    found = cut(found)
-    rows = prune(df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")), found, key).distinct().join(found, key)
+    """(key, restored, complete) of the garbled rows: chains that explain most characters first; complete is false where characters were lost.
+
+    Nulls, empty texts and repeated rows as in garbled(). The matches of one record are read together, as many as its length allows.
+    """
+    rows = usual(df, key, text)
+    found = matches(rows, key).groupBy(key, "_h").agg(F.collect_set(F.struct("chain", "start", "end")).alias("found"))
+    lost = rows.where(F.contains("_text", F.lit(chr(LOST)))).select(key, "_h").withColumn("found", F.lit(None).cast("array<struct<chain:int,start:int,end:int>>"))
+    found = cut(found.union(lost).groupBy(key, "_h").agg(F.max("found").alias("found")))
+    held = prune(rows, found, key).distinct().join(found, [key, "_h"])
 
     def undo(batches):
         for batch in batches:
-            done = [repair(t, f) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [repair(t, stretched(f or [])) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], [key, "restored", "complete"])
 
-    return rows.select(key, "_text", "found").mapInArrow(undo, f"{key} long, restored string, complete boolean")
+    return held.select(key, "_text", "found").mapInArrow(undo, f"{key} long, restored string, complete boolean")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,9 +94,23 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def raw(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomials of [start, end), before they are mixed."""
+    return (sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts]
+
+
 def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of [start, end), equal for equal content wherever it stands."""
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts])
+    return mix(raw(sums, starts, ends))
+
+
+def joined(sums: np.ndarray, one: tuple, two: tuple, between: str = "") -> np.ndarray:
+    """The hashes that the texts of two spans (starts, ends) would have, put together with the same text between them."""
+    out, size = raw(sums, *one), one[1] - one[0]
+    for c in between:
+        out = out + mix(np.array([ord(c) + 1])) * powers(BASE, int(size.max(initial=0)) + 1)[size]
+        size = size + 1
+    return mix(out + raw(sums, *two) * powers(BASE, int(size.max(initial=0)) + 1)[size])
 
 
 def grams(points: np.ndarray, k: int) -> np.ndarray:
