@@ -29,6 +29,11 @@ def token_count(text) -> Column:
     return F.regexp_count(text, F.lit(f"[\\p{{L}}\\p{{N}}&&[{CJK}]]|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"))
 
 
+def bm25_length(text) -> Column:
+    """The length that BM25 takes: the words of the text, a run of ideographs being one, and its tokens()."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")) + token_count(text)
+
+
 def grams(text) -> Column:
     """The distinct pairs of adjoining ideographs."""
     text = F.col(text) if isinstance(text, str) else text

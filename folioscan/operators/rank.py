@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import bm25_length
 from .parallel import spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -29,9 +29,9 @@ def bm25(segments: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """
     names = list(patterns)
     counted = spread(segments).withColumns({f"tf_{n}": F.regexp_count("content", F.lit(p)) for n, p in patterns.items()})
-    one = statistics(counted.withColumn("length", token_count("content")), names)
+    one = statistics(counted.withColumn("length", bm25_length("content")), names)
     # lengths of segments without any term are not needed any more
-    length = F.when(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf_{n}") for n in names)) > 0, token_count("content"))
+    length = F.when(F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf_{n}") for n in names)) > 0, bm25_length("content"))
     joined = counted.join(F.broadcast(one)).withColumn("length", length)  # one row
     ranks = [F.when(F.col(f"tf_{n}") > 0, score(F.col(f"tf_{n}"), F.col("length"), F.col("mean"), F.col(f"n_{n}"), F.col("n_all"))).otherwise(0.0) for n in names]
     rank = F.least(F.lit(0.0), *ranks) if ranks else F.lit(0.0)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fold import fold_text
 from ..functions.porter import family
-from ..functions.text import grams, literal, token_count, word_set
+from ..functions.text import CJK, literal
 from ..operators import changes, expand, filters, occurrences, quality, rank, vectors
 from ..operators.chunks import chunked
-from ..sources.tables import table as held
-from .search import Options, Searcher, index_tables
+from .index import TextIndex, index_of
+from .search import Options, Searcher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,24 +40,24 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return held(spark, f"{d}/documents.parquet")
+    return table(spark, d, "documents")
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
-    return held(spark, f"{d}/doc_segments.parquet")
+    return table(spark, d, "doc_segments")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return held(spark, f"{d}/{name}.parquet")
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def words(_segments, word: str) -> list[str]:
-    """The words of a stem that can be written out, so that query and SQL ask for the same."""
-    return family(word)
+def index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the segments; the first query that needs it builds it."""
+    return index_of(spark, f"{d}/doc_segments.parquet")
 
 
 def searcher(spark: SparkSession, d: str) -> Searcher:
-    return Searcher(docs(spark, d), segs(spark, d), words=words)
+    return Searcher(docs(spark, d), segs(spark, d), index=index(spark, d))
 
 
 META = "doc_id, path, filename, file_type, file_size, mtime, parse_status"
@@ -155,6 +156,7 @@ OUTSIDE = "[^\\pL\\pN]|[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{323
 
 
 def alternation(word: str) -> str:
+    """The words of a stem, written out: SQL has no stemmer. The queries take them from the index; a test holds the two against each other."""
     return "|".join(family(word))
 
 
@@ -224,30 +226,39 @@ def _(s, d):
 TOKENS_SQL = "regexp_extract_all(regexp_replace(lower(content), '([\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{323af}])', ' \\1 ', 'g'), '[\\pL\\pN]+')"
 
 
+RUNS_SQL = "len(regexp_extract_all(content, '[\\pL\\pN]+'))"
+
+
 def bm25_sql(*terms: str) -> str:
     """Common tables ending in ranked(doc_id, segment_row_id, rank, tf_0, ...)."""
     tf = ", ".join(f"list_sum(list_transform(toks, lambda x: CASE WHEN x IN ({', '.join(repr(w) for w in family(t))}) THEN 1 ELSE 0 END)) AS tf_{i}" for i, t in enumerate(terms))
     stats = ", ".join(f"count(*) FILTER (WHERE tf_{i} > 0) AS n_{i}" for i in range(len(terms)))
     scores = ", ".join(f"CASE WHEN tf_{i} > 0 THEN -greatest(ln((n_all - n_{i} + 0.5) / (n_{i} + 0.5)), 1e-6) * tf_{i} * 2.2e0 / (tf_{i} + 1.2e0 * (0.25e0 + 0.75e0 * length / mean)) ELSE 0e0 END" for i in range(len(terms)))
-    return f"""WITH t AS (SELECT doc_id, segment_row_id, {TOKENS_SQL} AS toks FROM doc_segments),
-c AS (SELECT doc_id, segment_row_id, CAST(len(toks) AS DOUBLE) AS length, {tf} FROM t),
+    return f"""WITH t AS (SELECT doc_id, segment_row_id, {TOKENS_SQL} AS toks, {RUNS_SQL} AS runs FROM doc_segments),
+c AS (SELECT doc_id, segment_row_id, CAST(len(toks) + runs AS DOUBLE) AS length, {tf} FROM t),
 s AS (SELECT count(*) AS n_all, avg(length) AS mean, {stats} FROM c),
 ranked AS (SELECT doc_id, segment_row_id, least(0e0, {scores}) AS rank, {', '.join(f'tf_{i}' for i in range(len(terms)))} FROM c, s)
 """
 
 
-def patterns(*terms: str) -> dict[str, str]:
-    return {str(i): word_set(family(t)) for i, t in enumerate(terms)}
+def scores(s, d, text: str) -> DataFrame:
+    return searcher(s, d).hits(text).select("doc_id", "segment_row_id", F.round("rank", 6).alias("rank"))
 
 
 @query("bm25_single", bm25_sql("budget") + "SELECT doc_id, segment_row_id, round(rank, 6) AS rank FROM ranked WHERE tf_0 > 0")
 def _(s, d):
-    return rank.bm25(segs(s, d), patterns("budget")).where("rank < 0").select("doc_id", "segment_row_id", F.round("rank", 6).alias("rank"))
+    return scores(s, d, "budget")
 
 
 @query("bm25_min_over_terms", bm25_sql("budget", "weekly") + "SELECT doc_id, segment_row_id, round(rank, 6) AS rank FROM ranked WHERE tf_0 > 0 OR tf_1 > 0")
 def _(s, d):
-    return rank.bm25(segs(s, d), patterns("budget", "weekly")).where("rank < 0").select("doc_id", "segment_row_id", F.round("rank", 6).alias("rank"))
+    return scores(s, d, "budget OR weekly")
+
+
+@query("bm25_by_scan", bm25_sql("budget") + "SELECT doc_id, segment_row_id, round(rank, 6) AS rank FROM ranked WHERE tf_0 > 0")
+def _(s, d):
+    """The same without an index: the stem's words are read from the texts, which are scanned."""
+    return Searcher(docs(s, d), segs(s, d)).hits("budget").select("doc_id", "segment_row_id", F.round("rank", 6).alias("rank"))
 
 
 RANKED_DOCS = bm25_sql("budget", "weekly") + ", g AS (SELECT doc_id, min(rank) AS rank_score, count(*) AS segment_count FROM ranked WHERE tf_0 > 0 AND tf_1 > 0 GROUP BY doc_id)\n"
@@ -336,9 +347,13 @@ def _(s, d):
 # expansion
 
 
+def known_words(s, d) -> DataFrame:
+    return index(s, d).words().where(F.length("word") >= 4).select("word", "n")
+
+
 @query("vocabulary_top", "SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[\\pL\\pN]+')) AS word FROM doc_segments) WHERE regexp_full_match(word, '[a-z]{4,}') GROUP BY word ORDER BY n DESC, word LIMIT 100")
 def _(s, d):
-    return expand.vocabulary(segs(s, d)).orderBy(F.desc("n"), "word").limit(100)
+    return known_words(s, d).orderBy(F.desc("n"), "word").limit(100)
 
 
 VOCABULARY_SQL = "(SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(content), '[\\pL\\pN]+')) AS word FROM doc_segments) WHERE regexp_full_match(word, '[a-z]{4,}'))"
@@ -346,13 +361,13 @@ VOCABULARY_SQL = "(SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(l
 
 @query("fuzzy_terms", f"SELECT word FROM {VOCABULARY_SQL} WHERE levenshtein(word, 'bugdet') = 1 OR levenshtein(word, 'regster') = 1")
 def _(s, d):
-    vocabulary = expand.vocabulary(segs(s, d))
+    vocabulary = known_words(s, d)
     return expand.near_words(vocabulary, "bugdet").union(expand.near_words(vocabulary, "regster"))
 
 
 @query("fuzzy_documents", f"SELECT DISTINCT doc_id FROM doc_segments WHERE regexp_matches(content, '(?i)register')")
 def _(s, d):
-    near = expand.near_words(expand.vocabulary(segs(s, d)), "regster")
+    near = expand.near_words(known_words(s, d), "regster")
     terms = [r[0] for r in near.collect()]  # at most expand.MOST
     return expand.expansion_hits(segs(s, d), terms).select("doc_id").distinct()
 
@@ -381,10 +396,10 @@ def _(s, d):
     return vectors.nearest(chunks, "chunk_id", "vector", query_vector(s, d), 50).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("cosine_threshold", f"SELECT chunk_id, round(score, 6) AS score FROM {SCORED} WHERE score >= 0.3")
+@query("cosine_threshold", f"SELECT chunk_id, round(score, 6) AS score FROM {SCORED} WHERE score >= {expand.SEMANTIC_LEAST}")
 def _(s, d):
     chunks = usable(table(s, d, "semantic_chunks")).dropDuplicates(["chunk_id"])
-    return chunks.select("chunk_id", vectors.cosine("vector", query_vector(s, d)).alias("score")).where("score >= 0.3").select("chunk_id", F.round("score", 6).alias("score"))
+    return chunks.select("chunk_id", vectors.cosine("vector", query_vector(s, d)).alias("score")).where(F.col("score") >= expand.SEMANTIC_LEAST).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("vector_reuse_delta", "SELECT DISTINCT s.segment_row_id, c.segment_row_id IS NOT NULL AS reused FROM doc_segments s LEFT JOIN (SELECT DISTINCT segment_row_id FROM semantic_chunks) c USING (segment_row_id)")
@@ -414,19 +429,36 @@ def _(s, d):
     return chunked(segs(s, d)).select("segment_row_id", "start", "end")
 
 
-@query("gram_candidates", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE contains(content, '{GRAM}') AND contains(content, '議記')")
+@query("gram_candidates", f"SELECT doc_id, segment_row_id FROM doc_segments WHERE regexp_matches(content, '[會会][議议]') AND regexp_matches(content, '[議议][記记]')")
+def _(s, d):
+    pairs = [fold_text(p, s) for p in (GRAM, "議記")]
+    held = index(s, d).postings(pairs).groupBy("segment_row_id", "doc_id").agg(F.count("*").alias("n"))
+    return held.where(F.col("n") == len(pairs)).select("doc_id", "segment_row_id")
+
+
+# stems and folded signs apart, which SQL does not know
+OTHER = "NOT regexp_full_match(term, '[a-z]+') AND NOT regexp_matches(term, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{323af}]')"
+
+
+@query("posting_counts", f"SELECT term, CAST(count(*) AS BIGINT) AS segments, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT segment_row_id, term, count(*) AS tf FROM (SELECT segment_row_id, unnest({TOKENS_SQL}) AS term FROM doc_segments) GROUP BY ALL) WHERE {OTHER} GROUP BY term")
+def _(s, d):
+    rows = index(s, d).postings().where("tf is not null").groupBy("term").agg(F.count("*").alias("segments"), F.sum("tf").alias("occurrences"))
+    return rows.where(~F.col("term").rlike("^[a-z]+$") & ~F.col("term").rlike(f"[{CJK}]"))
+
+
+@query("posting_places", f"SELECT segment_row_id, CAST(i - 1 AS INT) AS position FROM (SELECT segment_row_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT segment_row_id, {TOKENS_SQL} AS toks FROM doc_segments)) WHERE toks[i] IN ('2019', '2020')")
 def _(s, d):
-    return segs(s, d).where(F.array_contains(grams("content"), GRAM) & F.array_contains(grams("content"), "議記")).select("doc_id", "segment_row_id")
+    return index(s, d).postings(["2019", "2020"]).select("segment_row_id", F.explode("positions").alias("position"))
 
 
-@query("posting_counts", f"SELECT term, CAST(count(*) AS BIGINT) AS segments, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT segment_row_id, term, count(*) AS tf FROM (SELECT segment_row_id, unnest({TOKENS_SQL}) AS term FROM doc_segments) GROUP BY ALL) WHERE term IN ('budget', 'weekly', '會', '2019') GROUP BY term")
+@query("stem_counts", f"SELECT 'budget' AS term, CAST(count(*) AS BIGINT) AS segments FROM doc_segments WHERE {token_sql('budget')} UNION ALL SELECT 'review', CAST(count(*) AS BIGINT) FROM doc_segments WHERE {token_sql('reviewed')}")
 def _(s, d):
-    return index_tables(segs(s, d))["postings"].where(F.col("term").isin("budget", "weekly", "會", "2019")).groupBy("term").agg(F.count("*").alias("segments"), F.sum("tf").alias("occurrences"))
+    return index(s, d).terms().where(F.col("term").isin("budget", "review")).select("term", "segments")
 
 
-@query("segment_lengths", f"SELECT segment_row_id, CAST(len({TOKENS_SQL}) AS BIGINT) AS n FROM doc_segments")
+@query("segment_lengths", f"SELECT segment_row_id, CAST(len({TOKENS_SQL}) + {RUNS_SQL} AS BIGINT) AS n FROM doc_segments WHERE len({TOKENS_SQL}) > 0")
 def _(s, d):
-    return segs(s, d).select("segment_row_id", token_count("content").cast("long").alias("n"))
+    return index(s, d).postings().groupBy("segment_row_id").agg(F.max("length").cast("long").alias("n"))
 
 
 # statistics and quality

@@ -8,15 +8,16 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fold as folding
 from ..functions.porter import stem
-from ..functions.text import grams, is_cjk, literal, phrase_set, query_grams, quoted, tokens, word_set
+from ..functions.text import is_cjk, literal, phrase_set, query_grams, quoted, word_set
 from ..operators import filters, rank, snippets
 from ..operators.occurrences import occurrences, with_sources
-from ..operators.parallel import spread
+from .index import TextIndex
+from .lookup import FOUND, Lookup
 from .querylang import Node, QueryError, filename_term, negative_term, parse
 
 
@@ -42,6 +43,11 @@ class Options:
     whole_word: bool = False
     regex: bool = False
 
+    def unfiltered(self) -> bool:
+        """Whether all documents may come out."""
+        unset = (None, None, None, None, None, [], [])
+        return (self.type_filter, self.modified_after, self.modified_before, self.min_size, self.max_size, self.include_paths, self.exclude_patterns) == unset
+
     def condition(self) -> Column:
         if self.date_field not in ("mtime", "ctime"):
             raise ValueError("date_field is mtime or ctime")
@@ -120,19 +126,21 @@ class Term:
 
 
 class Searcher:
-    """Searches two tables. Nothing is shuffled before matching; documents are ranked by one aggregation of the matching segments."""
+    """Searches two tables. With an index of the segments, terms are looked up in it and only candidates' texts are read; without one, and for terms only a
+    scan can tell, the texts are scanned and nothing is shuffled before matching. Documents are ranked by one aggregation of the matching segments."""
 
-    def __init__(self, documents: DataFrame, segments: DataFrame, revision: int = 0, words=stem_words):
-        self.documents, self.segments, self.revision, self.words = documents, segments, revision, words
+    def __init__(self, documents: DataFrame, segments: DataFrame, revision: int = 0, index: TextIndex | None = None):
+        self.documents, self.segments, self.revision, self.index = documents, segments, revision, index
         self.spark: SparkSession = documents.sparkSession
+        self.words = stem_words if index is None else lambda _, word: index.words_of(word)
 
-    def compile(self, tree: Node, options: Options) -> tuple[Column, Column, dict[str, Term]]:
-        """(matches, contributing terms, terms): a term counts where its path in the tree is true; the right side of NOT never does."""
-        terms = {t: Term(t, options, self.segments, self.words) for t in tree.terms()}
+    @staticmethod
+    def fold(tree: Node, conditions: dict[str, Column]) -> tuple[Column, Column]:
+        """(matches, contributing terms): a term counts where its path in the tree is true; the right side of NOT never does."""
         empty = F.array().cast("array<string>")
 
         def leaf(t: str):
-            c = terms[t].condition
+            c = conditions[t]
             return c, F.when(c, F.array(F.lit(t))).otherwise(empty)
 
         def both(op: str, a, b):
@@ -142,8 +150,12 @@ class Searcher:
             some = F.array_union(a[1], b[1]) if op == "and" else a[1]
             return truth, F.when(truth, some).otherwise(empty)
 
-        truth, some = tree.fold(leaf, both)
-        return truth, some, terms
+        return tree.fold(leaf, both)
+
+    def compile(self, tree: Node, options: Options) -> tuple[Column, Column, dict[str, Term]]:
+        """(matches, contributing terms, terms) on texts."""
+        terms = {t: Term(t, options, self.segments, self.words) for t in tree.terms()}
+        return (*self.fold(tree, {t: x.condition for t, x in terms.items()}), terms)
 
     def hits(self, query: str, options: Options | None = None) -> DataFrame:
         """Matching segments: doc_id, segment_row_id, rank, positive."""
@@ -157,14 +169,37 @@ class Searcher:
         tree = parse(query)
         if tree is None:
             return self._filtered(self.segments.where(F.lit(False)).withColumn("rank", F.lit(0.0)).withColumn("positive", F.array().cast("array<string>")), options)
+        found = None if self.index is None else self._looked_up(tree, options)
+        if found is not None:
+            return self._filtered(found, options)
         truth, some, terms = self.compile(tree, options)
         patterns = {str(i): t.pattern for i, t in enumerate(terms.values()) if t.pattern}
         ranked = rank.bm25(self.segments, patterns) if patterns else self.segments.withColumn("rank", F.lit(0.0))
         return self._filtered(ranked.where(truth).withColumn("positive", some), options)
 
+    def _looked_up(self, tree: Node, options: Options) -> DataFrame | None:
+        """The hits by the index; None if a term needs a scan. What a tree matches holds at least one of its terms."""
+        lookup = Lookup(self.index, self.segments)
+        found = {t: lookup.find(t, options.match_case, options.whole_word) for t in tree.terms()}
+        if any(f is None for f in found.values()):
+            return None
+        if len(found) == 1:
+            ((only, rows),) = found.items()
+            return rows.where("hit").select("doc_id", "segment_row_id", "rank", F.array(F.lit(only)).alias("positive"))
+        every = None
+        for t, rows in found.items():
+            rows = rows.select(*FOUND, F.lit(t).alias("term"))
+            every = rows if every is None else every.union(rows)
+        # at most one row for each term of the query in a group
+        joined = every.groupBy("segment_row_id", "doc_id").agg(F.min("rank").alias("rank"), F.collect_set(F.when(F.col("hit"), F.col("term"))).alias("held"))
+        truth, some = self.fold(tree, {t: F.array_contains("held", t) for t in found})
+        return joined.where(truth).select("doc_id", "segment_row_id", "rank", some.alias("positive"))
+
     def _filtered(self, found: DataFrame, options: Options) -> DataFrame:
-        chosen = self.documents.where(options.condition()).select("doc_id")
-        return found.select("doc_id", "segment_row_id", "rank", "positive").join(chosen, "doc_id", "left_semi")
+        found = found.select("doc_id", "segment_row_id", "rank", "positive")
+        if options.unfiltered():
+            return found  # every segment has its document
+        return found.join(self.documents.where(options.condition()).select("doc_id"), "doc_id", "left_semi")
 
     @staticmethod
     def _valid(pattern: str) -> None:
@@ -185,7 +220,8 @@ class Searcher:
     def without(self, term: str, options: Options | None = None) -> DataFrame:
         """Documents no segment of which matches, those without segments too."""
         options = options or Options()
-        bad = self.segments.where(Term(term, options, self.segments, self.words).condition).select("doc_id")
+        known = None if self.index is None else Lookup(self.index, self.segments).find(term, options.match_case, options.whole_word)
+        bad = self.segments.where(Term(term, options, self.segments, self.words).condition).select("doc_id") if known is None else known.where("hit").select("doc_id")
         return self.documents.where(options.condition()).join(bad, "doc_id", "left_anti")
 
     def ranked(self, query: str, options: Options | None = None) -> DataFrame:
@@ -222,12 +258,14 @@ class Searcher:
         """One page: ids first, texts and snippets only for its documents."""
         options = options or Options()
         after = self._after(cursor, query, options, mode)
-        ranked = self.ranked(query, options) if ranked is None else ranked
+        # all matching documents are counted as they pass to the page, in the same job
+        total = Observation()
+        ranked = (self.ranked(query, options) if ranked is None else ranked).observe(total, F.count(F.lit(1)).alias("n"))
         rows = rank.page(ranked, options.limit + 1, after).collect()  # at most limit + 1 rows
         shown, more = rows[: options.limit], len(rows) > options.limit
         items = self._items(shown, query, options)
         last = shown[-1] if more else None
-        return Page(items, self._cursor(query, options, mode, last["rank_score"], last["doc_id"]) if last else None, more, ranked.count(), True, self.revision, mode)
+        return Page(items, self._cursor(query, options, mode, last["rank_score"], last["doc_id"]) if last else None, more, total.get["n"], True, self.revision, mode)
 
     def _items(self, rows: list, query: str, options: Options) -> list[dict]:
         ids = [r["doc_id"] for r in rows]
@@ -260,7 +298,7 @@ class Searcher:
         options = options or Options()
         segments = self.segments if ids is None else self.segments.where(F.col("doc_id").isin(ids))
         if options.regex:
-            hits = Searcher(self.documents, segments, self.revision, self.words).hits(query, options).select("segment_row_id", "positive")
+            hits = Searcher(self.documents, segments, self.revision).hits(query, options).select("segment_row_id", "positive")
             body = rf"(?<!\w)(?:{query})(?!\w)" if options.whole_word else query
             terms = [{"kind": "regex", "term": query, "pattern": body, "flags": 0 if options.match_case else int(re.IGNORECASE)}]
             return occurrences(segments.join(hits, "segment_row_id"), terms, seconds=10)
@@ -286,15 +324,3 @@ class Searcher:
     def match_context(self, segment_row_id: int, start: int, end: int, context: int = 120, full: bool = False, offset: int = 0, limit: int = 2048) -> dict | None:
         row = self.segments.where(F.col("segment_row_id") == segment_row_id).select("content").first()
         return None if row is None else snippets.context_of(row["content"], start, end, context, full, offset, limit)
-
-
-def index_tables(segments: DataFrame) -> dict[str, DataFrame]:
-    """Postings, pairs of ideographs, lengths and vocabulary, for writing bucketed by their keys; made in one explode each."""
-    listed = spread(segments).select("segment_row_id", "doc_id", tokens("content").alias("t"))
-    postings = listed.select("segment_row_id", F.posexplode("t").alias("position", "term")).groupBy("term", "segment_row_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return {
-        "postings": postings,
-        "cjk_grams": segments.select("segment_row_id", F.explode(grams("content")).alias("gram")),
-        "lengths": listed.select("segment_row_id", "doc_id", F.size("t").alias("length")),
-        "vocabulary": listed.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("segments")),
-    }

@@ -5,8 +5,9 @@ from folioscan.functions.fold import fold, fold_text, table
 from folioscan.operators import expand, filters, rank
 from folioscan.operators.occurrences import merge_islands, merged
 from folioscan.operators.snippets import context_of, render, snippets
+from folioscan.plans.index import TextIndex, index_of
 from folioscan.plans.querylang import QueryError
-from folioscan.plans.search import Options, Searcher, index_tables
+from folioscan.plans.search import Options, Searcher
 
 TEXTS = {
     1: ["QATREE-deep", "second page about the annual budget"],
@@ -28,16 +29,19 @@ NAMES = {1: "Alpha Report.PDF", 2: "會議紀錄.docx", 3: "会议纪录.txt"}
 
 
 @pytest.fixture(scope="module")
-def s(spark):
+def s(spark, tmp_path_factory):
     docs = [(i, f"/srv/Share/{'a' if i % 2 else 'b'}/drafts/{NAMES.get(i, f'file{i}.txt')}", NAMES.get(i, f"file{i}.txt"), NAMES.get(i, "x.txt").rpartition(".")[2].lower(), 100 * i, 1000.0 * i, 500.0 * i, "success", [], "1") for i in TEXTS]
     d = spark.createDataFrame(docs, "doc_id long, path string, filename string, file_type string, file_size long, mtime double, ctime double, parse_status string, warnings array<struct<code:string,location:string,message:string>>, parser_version string")
     segs = [(i * 100 + n, i, str(n + 1), "page", t, [(0, 3, "page", f"p{n}"), (3, 999, "page", f"p{n}b")]) for i, ts in TEXTS.items() for n, t in enumerate(ts)]
     g = spark.createDataFrame(segs, "segment_row_id long, doc_id long, segment_id string, segment_type string, content string, sources array<struct<start:int,end:int,kind:string,location:string>>")
-    return Searcher(d.cache(), g.cache(), 7)
+    return Searcher(d.cache(), g.cache(), 7, TextIndex.build(g, str(tmp_path_factory.mktemp("ix") / "v")))
 
 
 def found(s, text, **options):
-    return sorted({r[0] for r in s.ranked(text, Options(**options)).collect()})
+    """By the index and by a scan, with the same ranks."""
+    a, b = ({r[0]: (round(r[1], 9), r[2]) for r in x.ranked(text, Options(**options)).collect()} for x in (s, Searcher(s.documents, s.segments, s.revision)))
+    assert a == b
+    return sorted(a)
 
 
 @pytest.mark.parametrize(
@@ -157,12 +161,24 @@ def test_bm25_formula(spark):
     assert out[3] == 0 and out[2] == pytest.approx(-max(math.log(2.5 / 2.5), 1e-6) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 2 / 2.5)))
 
 
-def test_index_tables(spark):
-    g = spark.createDataFrame([(1, 1, "Alpha 會議 alpha")], "segment_row_id long, doc_id long, content string")
-    t = index_tables(g)
-    assert {(r["term"], r["tf"]) for r in t["postings"].collect()} == {("alpha", 2), ("會", 1), ("議", 1)}
-    assert [r["gram"] for r in t["cjk_grams"].collect()] == ["會議"] and t["lengths"].first()["length"] == 4
-    assert t["vocabulary"].where(F.col("term") == "alpha").first()["segments"] == 1
+def test_index(spark, tmp_path):
+    rows = [(1, 1, "Alpha 會議 alphas"), (2, 1, None), (3, 2, "running 2019")]
+    ix = TextIndex.build(spark.createDataFrame(rows, "segment_row_id long, doc_id long, content string"), str(tmp_path / "ix"))
+    got = {(r["term"], r["segment_row_id"], r["tf"]) for r in ix.postings().collect()}
+    assert got == {("alpha", 1, 2), ("会", 1, 1), ("议", 1, 1), ("会议", 1, None), ("run", 3, 1), ("2019", 3, 1)}
+    assert [r["positions"] for r in ix.postings(["alpha"]).collect()] == [[0, 3]] and ix.postings(["none"]).count() == 0
+    assert ix.counts(["alpha", "none"]) == {"alpha": 1, "none": 0} and ix.words_of("runs") == ["running", "runs"]
+    assert ix.meta["segments"] == 3 and ix.meta["mean"] == pytest.approx((3 + 4 + 2 + 2) / 3)
+    empty = TextIndex.build(spark.createDataFrame([], "segment_row_id long, doc_id long, content string"), str(tmp_path / "none"))
+    assert empty.postings(["x"]).count() == 0 and empty.words_of("a") == ["a"]
+
+
+def test_a_table_that_changes_gets_another_index(spark, tmp_path):
+    path = str(tmp_path / "segments")
+    spark.createDataFrame([(1, 1, "alpha")], "segment_row_id long, doc_id long, content string").write.parquet(path)
+    assert index_of(spark, path).counts(["alpha"]) == {"alpha": 1}
+    spark.createDataFrame([(2, 2, "alpha beta")], "segment_row_id long, doc_id long, content string").write.mode("append").parquet(path)
+    assert index_of(spark, path).counts(["alpha", "beta"]) == {"alpha": 2, "beta": 1}
 
 
 def test_chunks():
