@@ -276,9 +276,9 @@ class Searcher:
         special = not options.regex and (name is not None or negative_term(query) is not None)
         parts: dict[int, list[dict]] = {}
         if not special:
-            for r in self.located(query, options, ids).collect():
-                spans = [(s["start"], s["end"]) for s in r["spans"]]
-                parts.setdefault(r["doc_id"], []).append({"segment_row_id": r["segment_row_id"], "location_type": r["segment_type"], "location": r["segment_id"], "match_count": len(spans), "snippets": snippets.snippets(r["content"], spans)})
+            found = self.located(query, options, ids).where(F.size("spans") > 0)
+            for r in found.select("doc_id", "segment_row_id", "segment_type", "segment_id", F.size("spans").alias("n"), snippets.snippets("content", "spans").alias("shown")).collect():
+                parts.setdefault(r["doc_id"], []).append({"segment_row_id": r["segment_row_id"], "location_type": r["segment_type"], "location": r["segment_id"], "match_count": r["n"], "snippets": r["shown"]})
         out = []
         for r in rows:
             m = meta[r["doc_id"]]
@@ -291,7 +291,7 @@ class Searcher:
     def _named(self, filename: str, name: str, options: Options) -> dict:
         """A hit in the name of a file, as one more segment."""
         spans = [m.span() for m in re.finditer(folding.class_pattern(name, self.spark), filename, 0 if options.match_case else re.IGNORECASE)]
-        return {"segment_row_id": None, "location_type": FILENAME, "location": filename, "match_count": len(spans), "snippets": snippets.snippets(filename, spans, most=1, context=80)}
+        return {"segment_row_id": None, "location_type": FILENAME, "location": filename, "match_count": len(spans), "snippets": snippets.named(filename, spans)}
 
     def located(self, query: str, options: Options | None = None, ids: list[int] | None = None) -> DataFrame:
         """Matching segments with their texts and merged spans; of the given documents only, if given."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from folioscan.functions.fold import fold, fold_text, table
 from folioscan.operators import expand, filters, rank
 from folioscan.operators.occurrences import merge_islands, merged
-from folioscan.operators.snippets import context_of, render, snippets
+from folioscan.operators.snippets import context_of, shown, snippets
 from folioscan.plans.index import TextIndex, index_of
 from folioscan.plans.querylang import QueryError
 from folioscan.plans.search import Options, Searcher
@@ -111,11 +111,16 @@ def test_offsets_are_code_points(spark):
     assert sorted((r["start"], r["end"]) for r in merge_islands(df, ["k"]).collect()) == [(1, 7), (7, 9), (9, 9)]
 
 
-def test_snippets():
+def test_snippets(spark):
     text = "x" * 200 + "<hit>" + "y" * 200 + "<hit>" + "z" * 10
-    out = snippets(text, [(200, 205), (405, 410)])
-    assert len(out) == 2 and "<mark>&lt;hit&gt;</mark>" in out[0] and out[0].startswith("...")
-    assert "│" in render("abc", 0, 3, [(1, 1)])
+    rows = [(text, [(200, 205), (405, 410)]), ("abc", [(1, 1)]), ("a" * 900, [(0, 5), (20, 30), (400, 800), (890, 895)]), (None, []), ("none", [])]
+    df = spark.createDataFrame(rows, "content string, spans array<struct<start:int,end:int>>")
+    out = [r[0] for r in df.select(snippets("content", "spans")).collect()]
+    assert len(out[0]) == 2 and "<mark>&lt;hit&gt;</mark>" in out[0][0] and out[0][0].startswith("...") and out[0][1].endswith("z")
+    assert out[1] == ['a<span class="zero-width">│</span>bc'] and out[4] == [] and not out[3]
+    assert len(out[2]) == 3 and out[2][0].count("<mark>") == 2 and out[2][1] == "..." + "a" * 60 + "<mark>" + "a" * 360 + "</mark>..."
+    for (t, spans), got in zip(rows[:2], out):
+        assert got[0] == shown(t, max(spans[0][0] - 60, 0), min(len(t), spans[0][1] + 60), spans)
     assert context_of("abcdef", 2, 3, context=1)["text"] == "bcd"
     with pytest.raises(ValueError):
         context_of("a", 0, 1, context=5000)
