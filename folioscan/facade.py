@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from dataclasses import asdict
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, expand, quality, vectors
 from .operators.chunks import chunked
 from .operators.filters import has_warning, reprocess_eligible
-from .operators.ids import numbered
+from .operators.ids import numbered, saved
 from .plans.querylang import QueryError
 from .plans.search import Options, Page, Searcher
 from .sources import files
 from .sources.store import Store
-from .streaming.live import Live
+from .streaming.live import Live, VectorUpkeep
 
 
 class Engine:
@@ -28,42 +30,56 @@ class Engine:
         self.directories, self.exclude, self.encoder = files.distinct_roots(directories or []), exclude or [], encoder
         self._thread: threading.Thread | None = None
         self._last: dict = {}
+        self._cancel, self._group = threading.Event(), f"folioscan-{uuid.uuid4().hex}"
+        self.upkeep: VectorUpkeep | None = None
         self.live: Live | None = None
 
     # indexing
 
-    def run(self, scope: list[str] | None = None, force: list[str] | None = None, backfill: str | None = None) -> dict:
+    def run(self, scope: list[str] | None = None, force: list[str] | DataFrame | None = None, backfill: str | None = None) -> dict:
         """Compare the folders (or those of scope) with the index; force: paths that are parsed again, without deletions; backfill: a warning code (ocr_disabled)
         whose files are parsed again along with the changed ones."""
         began = time.time()
         roots = files.distinct_roots(scope) if scope is not None else self.directories
         good, bad = files.available(roots)
-        scanned = files.scan(self.spark, good, self.exclude, content=True)
+        scanned = saved(files.scan(self.spark, good, self.exclude))
         indexed = self.store.table("documents")
         if force is not None:
-            chosen = scanned.where(F.col("path").isin(force))
-            n = chosen.count()
-            self.store.upsert(files.parsed(chosen), time.time())
-            return {"indexed": n, "deleted": 0, "reprocess_skipped": len(force) - n, "elapsed": time.time() - began}
+            wanted = self.spark.createDataFrame([(p,) for p in force], "path string") if isinstance(force, list) else force.select("path")
+            chosen = saved(scanned.join(wanted, "path", "left_semi").select("path"))
+            n, asked = chosen.count(), wanted.distinct().count()
+            self._upsert(chosen, good)
+            return {"indexed": n, "deleted": 0, "reprocess_skipped": asked - n, "cancelled": self._cancel.is_set(), "elapsed": time.time() - began}
         if scope is not None:
             inside = F.lit(False)
             for r in roots:
                 inside = inside | (F.col("path") == r) | F.startswith("path", F.lit(r.rstrip("/") + "/"))
             indexed = indexed.where(inside)
-        change = changes.diff(scanned, indexed).persist()
-        try:
-            wanted = change.where(F.col("change").isin("new", "changed")).select("path")
-            if backfill is not None:
-                wanted = wanted.union(indexed.where(has_warning(backfill)).select("path")).distinct()
-            fresh = scanned.join(wanted, "path", "left_semi")
-            gone = changes.deletions(change, bad)
-            n = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
-            deleted = gone.count()
-            revision = self.store.upsert(files.parsed(fresh), time.time(), gone)
-        finally:
-            change.unpersist()
+        change = saved(changes.diff(scanned, indexed))
+        wanted = change.where(F.col("change").isin("new", "changed")).select("path")
+        if backfill is not None:
+            wanted = wanted.union(indexed.where(has_warning(backfill)).select("path")).distinct()
+        gone = changes.deletions(change, bad)
+        n = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
+        revision = self.store.revision if self._cancel.is_set() else self._upsert(wanted, good, gone)
+        deleted = 0 if self._cancel.is_set() else gone.count()
         failed = self.store.table("documents", revision).where(F.col("error").isNotNull()).count()
-        return {"indexed": n.get("new", 0) + n.get("changed", 0), "deleted": deleted, "failed": failed, "cancelled": False, "skipped": n.get("same", 0), "scanned": sum(v for k, v in n.items() if k != "deleted"), "unavailable_directories": bad, "elapsed": time.time() - began}
+        unreadable = [r[0] for r in self.store.table("documents", revision).where("parse_status = 'unreadable'").select("path").limit(1000).collect()]
+        return {"indexed": n.get("new", 0) + n.get("changed", 0), "deleted": deleted, "failed": failed, "cancelled": self._cancel.is_set(), "skipped": n.get("same", 0), "scanned": sum(v for k, v in n.items() if k != "deleted"), "unavailable_directories": bad, "scan_error_paths": unreadable, "elapsed": time.time() - began}
+
+    def _upsert(self, wanted: DataFrame, roots: list[str], gone: DataFrame | None = None) -> int:
+        """Parse and commit the wanted paths, then bring the text index to the new revision. A cancelled run ends its jobs and commits nothing."""
+        before = self.store.revision
+        rows = files.parsed(files.contents(self.spark, wanted, roots, self.exclude))
+        revision = self.store.upsert(rows, time.time(), gone)
+        if revision != before:
+            self.store.index(revision, build=True)
+        return revision
+
+    def cancel(self) -> None:
+        """End the run in the background: its jobs are cancelled, and what is not committed by then is not."""
+        self._cancel.set()
+        self.spark.sparkContext.cancelJobGroup(self._group)
 
     def start_reindex(self, folder: str | None = None) -> bool:
         """In the background; False if one is running. folder must lie in a configured folder."""
@@ -73,19 +89,21 @@ class Engine:
             return False
 
         def work():
+            self._cancel.clear()
+            self.spark.sparkContext.setJobGroup(self._group, "indexing", interruptOnCancel=True)
             try:
                 self._last = self.run(None if folder is None else [folder])
             except Exception as e:
-                self._last = {"error": str(e)}
+                self._last = {"cancelled": True} if self._cancel.is_set() else {"error": str(e)}
 
-        self._thread = threading.Thread(target=work, daemon=True)
+        self._thread = InheritableThread(target=work, daemon=True)
         self._thread.start()
         return True
 
     def start_reprocess(self, paths: list[str] | None = None) -> dict:
         """Parse again the given paths, or all that another parser version made."""
         if paths is None:
-            paths = [r[0] for r in self.store.table("documents").where(reprocess_eligible()).select("path").toLocalIterator()]
+            paths = self.store.table("documents").where(reprocess_eligible()).select("path")
         return self.run(force=paths)
 
     def wait_for_reindex(self, seconds: float | None = None) -> dict:
@@ -95,11 +113,15 @@ class Engine:
 
     def start_watching(self, events: DataFrame, checkpoint: str, every: str | None = "350 milliseconds"):
         self.live = Live(self.spark, self.store, self.directories, self.exclude)
+        if self.encoder is not None and every:
+            self.upkeep = VectorUpkeep(self.store, self.build_vectors)
+            self.upkeep.start()
         return self.live.start(events, checkpoint, every)
 
     def close(self) -> None:
-        if self.live:
-            self.live.stop()
+        for part in (self.live, self.upkeep):
+            if part:
+                part.stop()
 
     # vectors
 
@@ -120,7 +142,7 @@ class Engine:
 
     def searcher(self) -> Searcher:
         revision = self.store.revision
-        return Searcher(self.store.table("documents", revision), self.store.table("segments", revision), revision)
+        return Searcher(self.store.table("documents", revision), self.store.table("segments", revision), revision, self.store.index(revision))
 
     def search_page(self, query: str, options: Options | None = None, cursor: str | None = None, mode: str = "literal", synonyms: dict[str, list[str]] | None = None, scopes: list[dict] | None = None) -> Page:
         """mode: literal, expanded (synonyms, one-edit variants) or hybrid (and vectors)."""

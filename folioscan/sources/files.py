@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .parsers import PARSERS, parse, version
+from .parsers import REGISTERED, extensions, parse, version
 from .store import PARSED_ROW
 
 # Files no scan takes.
@@ -45,7 +45,7 @@ def valid(path: Column) -> Column:
     """No temporary, hidden or system file, no hidden folder on the way, and an extension with a parser."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     ext = F.element_at(F.split(name, r"\."), -1)
-    return ~F.startswith(name, F.lit("~$")) & ~F.startswith(name, F.lit(".")) & ~name.isin(*SKIPPED) & name.contains(".") & ext.isin(*PARSERS)
+    return ~F.startswith(name, F.lit("~$")) & ~F.startswith(name, F.lit(".")) & ~name.isin(*SKIPPED) & name.contains(".") & ext.isin(*extensions())
 
 
 def not_excluded(path: Column, root: str, patterns: list[str]) -> Column:
@@ -78,8 +78,40 @@ def scan(spark: SparkSession, roots: list[str], patterns: list[str] | None = Non
     return out.dropDuplicates(["path"]) if len(frames) > 1 else out
 
 
+#: Paths that are opened one by one; for more the folders are read and joined, which gives the same rows.
+NAMED = 10_000
+
+
+def listed(spark: SparkSession, paths: list[str], roots: list[str], patterns: list[str] | None = None, content: bool = False) -> DataFrame:
+    """As scan(), of the given paths only: those that are there, lie in a root and may be indexed. Nothing else is listed or read."""
+    here = [p for p in dict.fromkeys(paths) if os.path.isfile(p)]
+    schema = "path string, mtime double, file_size long" + (", content binary" if content else "")
+    if not here:
+        return spark.createDataFrame([], schema)
+    raw = spark.read.format("binaryFile").load([_literal(p) for p in here])
+    path, inside = local_path(F.col("path")), F.lit(False)
+    for root in distinct_roots(roots):
+        below = F.substring(path, F.lit(len(root.rstrip("/")) + 1), F.length(path))
+        inside = inside | (F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~below.rlike(r"/\.") & not_excluded(path, root, patterns or []))
+    return raw.where(valid(path) & inside).select(path.alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("file_size"), *(["content"] if content else []))
+
+
+def _literal(path: str) -> str:
+    """A path in which signs of file patterns stand for themselves."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def contents(spark: SparkSession, wanted: DataFrame, roots: list[str], patterns: list[str] | None = None) -> DataFrame:
+    """path, mtime, file_size and content of the wanted paths. Few are opened by name, so that a changed file does not cost a reading of its folder."""
+    some = [r[0] for r in wanted.select("path").limit(NAMED + 1).collect()]
+    if len(some) <= NAMED:
+        return listed(spark, some, roots, patterns, content=True)
+    return scan(spark, roots, patterns, content=True).join(wanted.select("path"), "path", "left_semi")
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """One row per file with its segments; a bad file is a row with an error, an unsupported one none. files: path, mtime, file_size, content."""
+    own = dict(REGISTERED)
 
     def run(batches):
         for batch in batches:
@@ -87,7 +119,7 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, mtime, size, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "mtime", "file_size", "content")), strict=True):
                 name = path.rpartition("/")[2]
                 ext = name.rpartition(".")[2].lower()
-                p = parse(ext, data)
+                p = parse(ext, data, own)
                 if p.status == "unsupported":
                     continue
                 keep = p.segments if p.error is None or p.status == "partial" else []

@@ -64,6 +64,10 @@ def _xml(archive: zipfile.ZipFile, name: str) -> ET.Element | None:
     return ET.fromstring(archive.read(name)) if name in archive.namelist() else None
 
 
+def _children(node: ET.Element | None) -> list[ET.Element]:
+    return [] if node is None else list(node)
+
+
 def _numbered(archive: zipfile.ZipFile, pattern: str) -> list[tuple[int, str]]:
     return sorted((int(m[1]), n) for n in archive.namelist() if (m := re.fullmatch(pattern, n)))
 
@@ -154,7 +158,7 @@ def xlsx(data: bytes) -> Parsed:
         book = _xml(z, "xl/workbook.xml")
         if book is None:
             return Parsed("corrupt", "xl/workbook.xml is missing")
-        links = {r.get("Id"): r.get("Target", "") for r in (_xml(z, "xl/_rels/workbook.xml.rels") or ())}
+        links = {r.get("Id"): r.get("Target", "") for r in _children(_xml(z, "xl/_rels/workbook.xml.rels"))}
         strings = _shared(z)
         for sheet in (x for x in book.iter() if _local(x.tag) == "sheet"):
             title = sheet.get("name", "")
@@ -184,7 +188,7 @@ def xlsx(data: bytes) -> Parsed:
                         spans.add(value, "cell", place, fresh)
                         fresh = " | "
             relations = path.rpartition("/")[0] + "/_rels/" + path.rpartition("/")[2] + ".rels"
-            for r in _xml(z, relations) or ():
+            for r in _children(_xml(z, relations)):
                 if r.get("Type", "").endswith("/comments"):
                     notes = _xml(z, "xl/" + r.get("Target", "").replace("../", ""))
                     for c in (x for x in (notes.iter() if notes is not None else ()) if _local(x.tag) == "comment"):
@@ -231,7 +235,8 @@ def image(data: bytes) -> Parsed:
     return Parsed("empty", warnings=[{"code": "ocr_disabled", "location": "image", "message": "no recognition"}])
 
 
-#: Parsers by extension; register others with register().
+#: Parsers by extension. Executors import this table; what register() adds on the driver is shipped to them with each parse (see files.parsed).
+REGISTERED: dict[str, Callable[[bytes], Parsed]] = {}
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {
     "txt": text_file, "md": text_file, "csv": text_file, "docx": docx, "pptx": pptx, "xlsx": xlsx,
     "doc": old_office("section"), "ppt": old_office("slide"), "pdf": missing("a PDF library"), "xls": missing("an XLS library"),
@@ -240,15 +245,21 @@ PARSERS: dict[str, Callable[[bytes], Parsed]] = {
 
 
 def register(extension: str, parser: Callable[[bytes], Parsed]) -> None:
-    PARSERS[extension.lower()] = parser
+    """Read files with this extension by parser, which must be picklable; it takes the place of a built-in one."""
+    REGISTERED[extension.lower()] = parser
 
 
 def version(file_type: str) -> str:
     return VERSIONS.get(file_type, "1")
 
 
-def parse(file_type: str, data: bytes | None) -> Parsed:
-    parser = PARSERS.get(file_type.lower())
+def extensions() -> list[str]:
+    return sorted(PARSERS.keys() | REGISTERED.keys())
+
+
+def parse(file_type: str, data: bytes | None, registered: dict[str, Callable[[bytes], Parsed]] | None = None) -> Parsed:
+    """registered: parsers besides the built-in ones; by default those of this process."""
+    parser = (REGISTERED if registered is None else registered).get(file_type.lower()) or PARSERS.get(file_type.lower())
     if parser is None:
         return Parsed("unsupported", f"no parser for {file_type}")
     if data is None:

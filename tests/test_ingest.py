@@ -13,8 +13,9 @@ from folioscan.operators.changes import debounced, diff, log_state
 from folioscan.operators.vectors import HashEncoder
 from folioscan.sources import files, parsers
 from folioscan.sources.decode import decode
+from folioscan.sources import store as store_module
 from folioscan.sources.store import Store, StoreError
-from folioscan.streaming.live import EVENT, Live, bursts, change_rates, event_log
+from folioscan.streaming.live import EVENT, Live, Stopped, VectorUpkeep, bursts, change_rates, event_log
 
 
 @pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-16", "utf-32", "utf-8", "big5", "utf-16-le"])
@@ -111,7 +112,7 @@ def test_scan_rules(spark, tree):
 
 def test_newer_store_is_refused(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
-    (tmp_path / "s" / "CURRENT").write_text(json.dumps({"format": 99, "revision": 0}))
+    (tmp_path / "s" / "manifest" / "1.json").write_text(json.dumps({"format": 99, "revision": 1}))
     with pytest.raises(StoreError) as e:
         s.revision  # noqa: B018
     assert e.value.code == "too_new"
@@ -134,10 +135,87 @@ def test_live(spark, tree, tmp_path):
     assert live.reconcile()["indexed"] == 3
     live.stop()
     before = store.revision
-    live.apply(spark.createDataFrame([(str(tree / "c.docx"), "modified", None)], EVENT))
+    with pytest.raises(Stopped):  # not acknowledged, so not lost
+        live.apply(spark.createDataFrame([(str(tree / "c.docx"), "modified", None)], EVENT))
     assert store.revision == before and live.status()["state"] == "stopped"
 
 
+def test_live_loop(spark, tree, tmp_path):
+    """Pause keeps events, a changed scope and a folder event compare everything, vectors follow."""
+    engine = Engine(spark, str(tmp_path / "store"), [str(tree)], encoder=HashEncoder())
+    events = tmp_path / "events"
+    events.mkdir()
+    write = lambda n, *paths: (events / n).write_text("\n".join(json.dumps({"path": str(p), "kind": "modified", "at": "2024-01-01 00:00:00"}) for p in paths))
+    live = Live(spark, engine.store, [str(tree)], reconcile=0)
+    live.start(event_log(spark, str(events)), str(tmp_path / "cp"), "100 milliseconds")
+    live.pause()
+    write("1.json", tree / "a.txt")
+    assert live.status()["state"] == "paused" and not live.query.isActive and engine.store.revision == 0
+    query = live.resume()
+    query.processAllAvailable()
+    assert engine.store.table("documents").count() == 1 and live.status()["pending"] == 0
+    write("2.json", tree / "sub")
+    query.processAllAvailable()
+    assert engine.store.table("documents").count() == 4
+    live.configure([str(tree / "sub")])
+    write("3.json", tree / "a.txt")
+    query.processAllAvailable()
+    live.stop()
+    assert [r["filename"] for r in engine.store.table("documents").collect()] == ["b.md"] and not query.isActive
+    upkeep = VectorUpkeep(engine.store, engine.build_vectors)
+    assert upkeep.once() and not upkeep.once() and engine.store.state["vector_revision"] == engine.store.revision
+
+
+def test_registered_parsers_reach_executors(spark, tree):
+    def upper(data):
+        return parsers.Parsed(segments=[{"segment_id": "1", "segment_type": "section", "content": data.decode().upper(), "sources": []}])
+
+    (tree / "x.log").write_text("hello")
+    parsers.register("log", upper)
+    try:
+        rows = {r["filename"]: r for r in files.parsed(files.scan(spark, [str(tree)], content=True)).collect()}
+    finally:
+        del parsers.REGISTERED["log"]
+    assert rows["x.log"]["segments"][0]["content"] == "HELLO" and "a.txt" in rows
+
+
+def test_store_parts(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_PARTS", 3)
+    e = Engine(spark, str(tmp_path / "store"), [str(tree)])
+    e.run()
+    first = e.store.state["parts"]
+    (tree / "a.txt").write_text("changed once and for all")
+    e.run()
+    parts = e.store.state["parts"]
+    assert parts[: len(first)] == first and len(parts) == 2  # the old part is not written again
+    assert e.search("changed")["result_count"] == 1 and e.search("annual")["result_count"] == 0
+    saved = e.store.backup()
+    for i in range(3):
+        (tree / "a.txt").write_text("x" * (30 + i))
+        e.run()
+    assert len(e.store.state["parts"]) <= 3 and e.store.table("documents").count() == 4
+    e.store.keep(1)
+    assert e.store.table("documents").count() == 4
+    e.store.restore(saved)
+    assert e.store.table("segments").where("content like 'changed%'").count() == 1
+    other = Store(spark, str(tmp_path / "store"))
+    state = other.state
+    other.clear()
+    with pytest.raises(StoreError) as error:
+        e.store._manifest(state["revision"] + 1, state)
+    assert error.value.code == "conflict"
+
+
+def test_older_store_is_taken_over(spark, tmp_path):
+    root = tmp_path / "old"
+    docs = spark.createDataFrame([(3, "/a.txt", "a.txt", "txt", 1, 1.0, 1.0, 1.0, 1, None, "success", None, "1")], store_module.DOCUMENTS)
+    for name, df in (("documents", docs), ("segments", spark.createDataFrame([(7, 3, "1", "section", "alpha", None)], store_module.SEGMENTS)), ("chunks", spark.createDataFrame([(1, 7, 0, 5, [1.0])], store_module.CHUNKS))):
+        df.write.parquet(str(root / "v5" / name))
+    (root / "CURRENT").write_text(json.dumps({"format": 6, "revision": 5, "doc": 3, "segment": 7, "chunk": 1, "model_id": None, "vector_revision": None}))
+    s = Store(spark, str(root))
+    assert s.revision == 5 and s.table("documents").first()["doc_id"] == 3 and s.table("chunks").count() == 1 and (root / "v5").exists()
+
+
 def test_stream_windows(spark, tmp_path):
     folder = tmp_path / "e"
     folder.mkdir()
