@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import fold_text
 from ..functions.porter import family
-from ..functions.text import CJK, literal
-from ..operators import changes, expand, filters, occurrences, quality, rank, vectors
+from ..functions.text import CJK, literal, plain_marks
+from ..operators import changes, expand, filters, occurrences, quality, rank, snippets, vectors
 from ..operators.chunks import chunked
+from . import samples
 from .index import TextIndex, index_of
 from .search import Options, Searcher
 
@@ -327,11 +328,39 @@ def _(s, d):
     return positions(s, d, "budget").withColumn("ordinal", F.row_number().over(by)).where("ordinal BETWEEN 3 AND 5").select("doc_id", "segment_row_id", "start", "ordinal")
 
 
-@query("occ_merged_udf")
+def runs_sql(word: str) -> str:
+    """Occurrences of a stem in a segment that holds it as a token: runs of ASCII letters."""
+    return f"CASE WHEN {token_sql(word)} THEN len(list_filter(regexp_extract_all(content, '[A-Za-z]+'), lambda x: lower(x) IN ({', '.join(repr(w) for w in family(word))}))) ELSE 0 END"
+
+
+@query("occ_merged_udf", f"SELECT doc_id, segment_row_id, CAST({runs_sql('budget')} + {runs_sql('reviewed')} AS BIGINT) AS n FROM doc_segments WHERE {token_sql('budget')} OR {token_sql('reviewed')}")
 def _(s, d):
     return searcher(s, d).located("budget OR reviewed").select("doc_id", "segment_row_id", F.size("spans").cast("long").alias("n"))
 
 
+SPANS = r"(SELECT doc_id, segment_row_id, content, list_transform(list_filter(range(1, len(p)), lambda i: true), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * 6) AS hits FROM (SELECT *, string_split(lower(content), 'budget') AS p FROM doc_segments WHERE contains(lower(content), 'budget')))"
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+# the first context; hits are marked in the pieces between them, and cut at its ends
+FIRST = f"""(SELECT doc_id, segment_row_id, CASE WHEN l > 0 THEN '...' ELSE '' END || array_to_string(list_transform(range(1, len(e)), lambda i: {ESCAPED.format('substring(content, CAST(e[i] AS BIGINT) + 1, CAST(e[i + 1] - e[i] AS BIGINT))')} || CASE WHEN i % 2 = 0 OR i = len(e) - 1 THEN '' ELSE '<mark>' END || CASE WHEN i % 2 = 0 THEN '</mark>' ELSE '' END), '') || CASE WHEN r < length(content) THEN '...' ELSE '' END AS html
+FROM (SELECT *, list_concat(list_concat([l], flatten(list_transform(list_filter(hits, lambda a: a + 6 >= l AND a <= r), lambda a: [greatest(a, l), least(a + 6, r)]))), [r]) AS e FROM (SELECT *, greatest(hits[1] - 60, 0) AS l, least(length(content), hits[1] + 66) AS r FROM {SPANS})))"""
+
+
+def contexts(s, d) -> DataFrame:
+    rows = segs(s, d).where(F.lower("content").contains("budget"))
+    spans = F.transform(occurrences.literal_positions("content", "budget"), lambda a: F.struct(a.alias("start"), (a + 6).alias("end")))
+    return rows.select("doc_id", "segment_row_id", snippets.snippets("content", spans)[0].alias("html"))
+
+
+@query("snippet_html", f"SELECT * FROM {FIRST}")
+def _(s, d):
+    return contexts(s, d)
+
+
+@query("snippet_plain", f"SELECT doc_id, segment_row_id, {'replace(replace(replace(replace(replace('}regexp_replace(regexp_replace(html, '(?s)<mark[^>]*>(.*?)</mark>', '**\\1**', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&') AS text FROM {FIRST}")
+def _(s, d):
+    return contexts(s, d).select("doc_id", "segment_row_id", plain_marks(F.col("html")).alias("text"))
+
+
 @query("located_sources")
 def _(s, d):
     return occurrences.with_sources(searcher(s, d).located("budget")).select("doc_id", "segment_row_id", "start", "end", "ordinal", "source_kind", "location")
@@ -424,7 +453,18 @@ def _(s, d):
     return out.select("doc_id", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"))
 
 
-@query("chunk_passages")
+CHUNKS_SQL = r"""WITH RECURSIVE long AS (SELECT row_number() OVER () AS n, segment_row_id, content FROM doc_segments WHERE length(trim(content)) > 0),
+c AS (
+  SELECT n, segment_row_id, content, 0 AS s, CAST(NULL AS INT) AS a, CAST(NULL AS INT) AS b FROM long
+  UNION ALL
+  SELECT n, segment_row_id, content, CASE WHEN e IS NULL THEN NULL ELSE e - greatest(1, CAST(round_even(0.15e0 * (e - s), 0) AS INT)) END, s, coalesce(e, CAST(length(content) AS INT)) FROM (
+    SELECT *, CASE WHEN length(content) - s <= 1000 THEN NULL WHEN hard >= 2 THEN s + 398 + hard ELSE s + 800 END AS e FROM (
+      SELECT *, CAST(greatest(length(regexp_extract(w, '(?s)^(.*\n)[^\n]', 1)), length(regexp_extract(v, '(?s)^(.*[。！？])', 1)), length(regexp_extract(w, '(?s)^(.*[.!?])\s', 1))) AS INT) AS hard FROM (
+        SELECT *, substring(content, s + 399, 403) AS w, substring(content, s + 399, 402) AS v FROM c WHERE s IS NOT NULL))))
+SELECT segment_row_id, a AS "start", b AS "end" FROM c WHERE a IS NOT NULL"""
+
+
+@query("chunk_passages", CHUNKS_SQL)
 def _(s, d):
     return chunked(segs(s, d)).select("segment_row_id", "start", "end")
 
@@ -556,8 +596,8 @@ def _(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | samples.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | samples.SQL

@@ -19,7 +19,7 @@ SKIPPED = ("thumbs.db", "desktop.ini")
 def distinct_roots(roots: list[str]) -> list[str]:
     """Absolute roots without repeats and without those inside others."""
     out: list[str] = []
-    for r in sorted({os.path.abspath(os.path.expanduser(x)) for x in roots}, key=len):
+    for r in sorted({os.path.abspath(os.path.expanduser(x)) for x in roots}, key=lambda r: (len(r), r)):
         if not any(r == o or r.startswith(o.rstrip("/") + "/") for o in out):
             out.append(r)
     return out

@@ -6,6 +6,7 @@ A parser takes bytes and returns Parsed; it raises nothing: what goes wrong beco
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -13,10 +14,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from .decode import decode
+from .ole import SIGNATURE as OLE
+from .ole import Compound, Encrypted, Workbook, readable
+from .pdf import Document, has_images, page_text
 
 VERSIONS = {"xlsx": "3", "pdf": "3", "pptx": "3", "docx": "2"}
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
-OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+# Names of fonts and parts that old slide files hold among their texts.
+FONTS = ("Arial", "Calibri", "Times New Roman", "Wingdings", "Default Design")
 
 
 @dataclass
@@ -129,19 +134,68 @@ def docx(data: bytes) -> Parsed:
     return _finished(out)
 
 
+def _shapes(node: ET.Element, place: str, inherited: bool = False, prefix: str = "") -> Iterable[tuple[str, str, str, str]]:
+    """(text, kind, location, separator) of the shapes of a slide, its layout or its master; groups name their members."""
+    for shape in node:
+        name = _local(shape.tag)
+        if name not in ("sp", "graphicFrame", "grpSp"):
+            continue
+        number = prefix + next((x.get("id", "") for x in shape.iter() if _local(x.tag) == "cNvPr"), "")
+        if inherited and any(_local(x.tag) == "ph" for x in shape.iter()):
+            continue  # what a placeholder of the layout says is no text of the slide
+        where = f"{place} shape {number}"
+        if name == "grpSp":
+            yield from _shapes(shape, place, inherited, number + "/")
+        elif name == "graphicFrame":
+            for r, row in enumerate((x for x in shape.iter() if _local(x.tag) == "tr"), 1):
+                for c, cell in enumerate((x for x in row if _local(x.tag) == "tc"), 1):
+                    text = "\n".join(_lines(cell))
+                    if text.strip():
+                        yield text, "table_cell", f"{where} r{r}c{c}", " | "
+        else:
+            for text in _lines(shape):
+                if text.strip():
+                    yield text, "shape", where, "\n"
+
+
+def _lines(node: ET.Element) -> list[str]:
+    return ["".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in node.iter() if _local(p.tag) == "p"]
+
+
+def _related(z: zipfile.ZipFile, name: str, kind: str) -> str | None:
+    """The part of a kind that another part refers to."""
+    folder, _, file = name.rpartition("/")
+    for r in _children(_xml(z, f"{folder}/_rels/{file}.rels")):
+        if r.get("Type", "").endswith("/" + kind):
+            target = r.get("Target", "")
+            return target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+    return None
+
+
 def pptx(data: bytes) -> Parsed:
     out = Parsed()
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for n, name in _numbered(z, r"ppt/slides/slide(\d+)\.xml"):
-            spans = Spans()
-            root = _xml(z, name)
-            for p in (x for x in root.iter() if _local(x.tag) == "p"):
-                spans.add("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t"), "slide", f"slide {n}", "\n")
-            notes = _xml(z, f"ppt/notesSlides/notesSlide{n}.xml")
-            if notes is not None:
-                text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in notes.iter() if _local(p.tag) == "p")))
-                if text:
-                    spans.add("[Note] " + text, "notes", f"slide {n} notes", "\n")
+            spans, root = Spans(), _xml(z, name)
+            layout = _related(z, name, "slideLayout")
+            master = _related(z, layout, "slideMaster") if layout else None
+            parts = [(root, f"slide {n} slide", False), (layout and _xml(z, layout), f"slide {n} layout", True)]
+            if not any(x is not None and x.get("showMasterSp") in ("0", "false") for x in (root, parts[1][0])):
+                parts.append((master and _xml(z, master), f"slide {n} master", True))
+            for part, place, inherited in parts:
+                tree = next((x for x in part.iter() if _local(x.tag) == "spTree"), None) if part is not None else None
+                if tree is not None:
+                    for text, kind, where, separator in _shapes(tree, place, inherited):
+                        spans.add(text, kind, where, separator)
+                elif part is root:
+                    for text in _lines(root):
+                        spans.add(text, "shape", place, "\n")
+            if any(_local(x.tag) == "oleObj" or _local(x.tag) == "graphicData" and x.get("uri", "").endswith(("/diagram", "/chart")) for x in root.iter()):
+                out.warnings.append({"code": "unsupported_embedded_object", "location": f"slide {n}", "message": "chart or embedded object"})
+            notes = _xml(z, _related(z, name, "notesSlide") or f"ppt/notesSlides/notesSlide{n}.xml")
+            text = "\n".join(filter(None, _lines(notes))).strip() if notes is not None else ""
+            if text:
+                spans.add("[Note] " + text, "notes", f"slide {n} notes", "\n")
             if one := spans.segment(str(n), "slide"):
                 out.segments.append(one)
     return _finished(out)
@@ -205,30 +259,81 @@ def _finished(out: Parsed) -> Parsed:
     return out
 
 
-def old_office(kind: str) -> Callable[[bytes], Parsed]:
-    """Readable runs of an OLE file: UTF-16 and ASCII, each line once."""
+def old_office(kind: str, wanted: tuple[str, ...], loose: bool, noise: tuple[str, ...] = ()) -> Callable[[bytes], Parsed]:
+    """Readable runs of the streams that hold the text, or of all if these have none; loose: files of another kind under the name are read as they are."""
 
     def parse(data: bytes) -> Parsed:
-        if not data.startswith(OLE):
+        if data.startswith(OLE):
+            streams = Compound(data).streams()
+            lines = readable(b"".join(streams.get(w, b"") for w in wanted))
+            if not lines and (loose or not any(w in streams for w in wanted)):
+                lines = list(dict.fromkeys(x for s in streams.values() for x in readable(s)))
+        elif loose:
+            lines = readable(data)
+        else:
             return Parsed("corrupt", "not an OLE file")
-        wide = re.findall(rb"(?:[\x20-\x7e\xa0-\xff]\x00|[\x00-\xff][\x30\x4e-\x9f\xff]){6,}", data)
-        plain = re.findall(rb"[\x20-\x7e]{8,}", data)
-        seen: dict[str, None] = {}
-        for text in [*(w.decode("utf-16-le", "ignore") for w in wide), *(p.decode("ascii") for p in plain)]:
-            for line in text.splitlines():
-                if len(line.strip()) > 3:
-                    seen.setdefault(line.strip())
+        if not lines and not data.startswith(OLE):
+            return Parsed("corrupt", "not an OLE file and nothing readable")
         spans = Spans()
-        for line in seen:
-            spans.add(line, kind, "stream", "\n")
+        for line in lines:
+            if line not in noise:
+                spans.add(line, kind, "stream", "\n")
         one = spans.segment("1", kind)
-        return Parsed("partial" if one else "empty", segments=[one] if one else [])
+        return Parsed("success" if one else "empty", segments=[one] if one else [])
 
     return parse
 
 
-def missing(library: str) -> Callable[[bytes], Parsed]:
-    return lambda data: Parsed("dependency_missing", f"{library} is not installed")
+def xls(data: bytes) -> Parsed:
+    streams = Compound(data).streams() if data.startswith(OLE) else {}
+    stream = streams.get("Workbook", streams.get("Book"))
+    if stream is None:
+        return Parsed("encrypted", "the file is protected") if "EncryptedPackage" in streams else Parsed("corrupt", "no workbook in the file")
+    out = Parsed()
+    try:
+        book = Workbook(stream)
+    except Encrypted as e:
+        return Parsed("encrypted", str(e))
+    for start, title in book.sheets:
+        spans = Spans()
+        for r, cells in sorted(book.rows(start).items()):
+            fresh = "\n"
+            for c, text in sorted(cells.items()):
+                if text.strip():
+                    spans.add(text.strip(), "cell", f"{title}!{column_name(c)}{r + 1}", fresh)
+                    fresh = " | "
+        if one := spans.segment(title, "sheet"):
+            out.segments.append(one)
+    return _finished(out)
+
+
+def column_name(n: int) -> str:
+    out = ""
+    while n >= 0:
+        n, r = divmod(n, 26)
+        out, n = chr(65 + r) + out, n - 1
+    return out
+
+
+def pdf(data: bytes) -> Parsed:
+    """A segment for each page with native text; a page that cannot be read is a warning."""
+    doc = Document(data)
+    if doc.encrypted:
+        return Parsed("encrypted", "the document is protected")
+    out = Parsed()
+    for n, page in enumerate(doc.pages(), 1):
+        place, spans = f"page {n}", Spans()
+        try:
+            spans.add(page_text(doc, page), "native", place)
+            if has_images(doc, page):
+                out.warnings.append({"code": "ocr_disabled", "location": place, "message": "text in images was not recognised"})
+            elif not spans.size:
+                out.warnings.append({"code": "no_native_text", "location": place, "message": "the page has no native text"})
+        except Exception as e:
+            out.warnings.append({"code": "page_failed", "location": place, "message": f"{type(e).__name__}: {e}"[:300]})
+        if one := spans.segment(str(n), "page"):
+            out.segments.append(one)
+    return _finished(out)
 
 
 def image(data: bytes) -> Parsed:
@@ -239,7 +344,7 @@ def image(data: bytes) -> Parsed:
 REGISTERED: dict[str, Callable[[bytes], Parsed]] = {}
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {
     "txt": text_file, "md": text_file, "csv": text_file, "docx": docx, "pptx": pptx, "xlsx": xlsx,
-    "doc": old_office("section"), "ppt": old_office("slide"), "pdf": missing("a PDF library"), "xls": missing("an XLS library"),
+    "doc": old_office("section", ("WordDocument", "1Table", "0Table"), True), "ppt": old_office("slide", ("PowerPoint Document",), False, FONTS), "pdf": pdf, "xls": xls,
     **dict.fromkeys(IMAGES, image),
 }
 

@@ -1,8 +1,10 @@
 import io
 import json
 import os
+import struct
 import time
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from folioscan.config import Settings
 from folioscan.facade import Engine
 from folioscan.operators.changes import debounced, diff, log_state
 from folioscan.operators.vectors import HashEncoder
-from folioscan.sources import files, parsers
+from folioscan.sources import files, ocr, parsers
 from folioscan.sources.decode import decode
 from folioscan.sources import store as store_module
 from folioscan.sources.store import Store, StoreError
@@ -46,12 +48,116 @@ def test_parsers():
     x = parsers.parse("xlsx", XLSX)
     assert x.segments[0]["content"] == "shared | =A1+1" and x.warnings[0]["code"] == "missing_cached_result" and x.status == "partial"
     assert parsers.parse("docx", DOCX[:60]).status == "corrupt" and parsers.parse("docx", parsers.OLE).status == "encrypted"
-    assert parsers.parse("pdf", b"x").status == "dependency_missing" and parsers.parse("exe", b"x").status == "unsupported" and parsers.parse("txt", None).status == "unreadable"
+    assert parsers.parse("pdf", b"x").status == "corrupt" and parsers.parse("xls", b"x").status == "corrupt" and parsers.parse("exe", b"x").status == "unsupported" and parsers.parse("txt", None).status == "unreadable"
     assert parsers.parse("txt", b"  ").status == "empty" and parsers.parse("png", b"x").warnings[0]["code"] == "ocr_disabled"
     for s in d.segments + x.segments:
         assert all(0 <= a["start"] < a["end"] <= len(s["content"]) for a in s["sources"])
 
 
+def compound(streams):
+    """A compound file of streams of 4,096 bytes and more."""
+    size, fat, body, heads = 512, [], b"", []
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0")
+        n = -(-len(data) // size)
+        heads.append((name, len(fat), len(data)))
+        fat += [*range(len(fat) + 1, len(fat) + n), 0xFFFFFFFE]
+        body += data.ljust(n * size, b"\0")
+    entry = lambda name, kind, first, length: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<IQ", first, length)
+    nodes = entry("Root Entry", 5, 0xFFFFFFFE, 0) + b"".join(entry(n, 2, f, x) for n, f, x in heads)
+    nodes = nodes.ljust(-(-len(nodes) // size) * size, b"\0")
+    first = len(fat)
+    fat += [*range(first + 1, first + len(nodes) // size), 0xFFFFFFFE]
+    table = len(fat)
+    fat += [0xFFFFFFFD]
+    assert len(fat) <= 128
+    head = parsers.OLE + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, first, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    head += struct.pack("<109I", table, *[0xFFFFFFFF] * 108)
+    return head + body + nodes + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat)))
+
+
+def biff(kind, data=b""):
+    return struct.pack("<HH", kind, len(data)) + data
+
+
+def workbook(extra=b""):
+    sst = biff(0xFC, struct.pack("<II", 2, 2) + struct.pack("<HB", 5, 0) + b"hello" + struct.pack("<HB", 4, 1) + "會議".encode("utf-16-le")) + biff(0x3C, b"\x01" + "記錄".encode("utf-16-le"))
+    first = biff(0x809, b"\0" * 16) + extra
+    name = struct.pack("<BB", 5, 0) + b"Sheet"
+    start = len(first) + 4 + 6 + len(name) + len(sst) + 4
+    cells = biff(0x809, b"\0" * 16) + biff(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + biff(0xFD, struct.pack("<HHHI", 0, 27, 0, 1)) + biff(0x203, struct.pack("<HHHd", 1, 0, 0, 2.5)) + biff(0x27E, struct.pack("<HHHI", 1, 1, 0, 7 << 2 | 2))
+    cells += biff(0xBD, struct.pack("<HHHIHIH", 2, 0, 0, 100 << 2 | 3, 0, 3 << 2 | 2, 1)) + biff(0x06, struct.pack("<HHH", 3, 0, 0) + b"\0" * 6 + b"\xff\xff" + b"\0" * 6) + biff(0x207, struct.pack("<HB", 3, 0) + b"abc") + biff(0x0A)
+    return first + biff(0x85, struct.pack("<IH", start, 0) + name) + sst + biff(0x0A) + cells
+
+
+def test_old_office():
+    x = parsers.parse("xls", compound({"Workbook": workbook()}))
+    assert x.status == "success" and x.segments[0]["segment_id"] == "Sheet" and x.segments[0]["content"] == "hello | 會議記錄\n2.5 | 7.0\n1.0 | 3.0\nabc"
+    assert x.segments[0]["sources"][1]["location"] == "Sheet!AB1"
+    assert parsers.parse("xls", compound({"Workbook": workbook(biff(0x2F, b"\0" * 6))})).status == "encrypted"
+    word = "Minutes of the board".encode("utf-16-le") + b"\0\1\2" + "會議記錄內容".encode("utf-16-le")
+    d = parsers.parse("doc", compound({"WordDocument": word, "Other": b"noise that is not read"}))
+    assert d.status == "success" and d.segments[0]["content"].split("\n")[0] == "Minutes of the board" and "會議記錄內容" in d.segments[0]["content"] and "noise" not in d.segments[0]["content"]
+    assert "all streams" in parsers.parse("doc", compound({"Other": b"all streams are read"})).segments[0]["content"]
+    assert "just text" in parsers.parse("doc", b"{\\rtf1 just text}").segments[0]["content"]
+    p = parsers.parse("ppt", compound({"PowerPoint Document": "Slide text".encode("utf-16-le") + b"\0\1" + "Arial".encode("utf-16-le")}))
+    assert p.segments[0]["content"] == "Slide text" and p.segments[0]["segment_type"] == "slide" and parsers.parse("ppt", b"x").status == "corrupt"
+
+
+def pdf_of(objects, extra=b""):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % x for x in objects.items()) + b"trailer\n<< /Root 1 0 R " + extra + b">>\n"
+
+
+def packed(data, more=b""):
+    z = zlib.compress(data)
+    return b"<< /Filter /FlateDecode /Length %d %b >>\nstream\n%b\nendstream" % (len(z), more, z)
+
+
+def test_pdf():
+    cmap = b"1 beginbfchar <0001> <6703> endbfchar 1 beginbfrange <0002> <0003> <8B70> endbfrange"
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) \\351t\\351) Tj 0 -20 Td [(wor) -20 (ld) -300 (x)] TJ ET q 1 0 0 1 0 20 cm BT /F2 12 Tf 1 0 0 1 72 700 Tm <00010002> Tj ET Q BT /F1 12 Tf 1 0 0 1 300 700 Tm (right) Tj ET /X Do"
+    inside = b"4 0 3 60 << /Type /Pages /Kids [10 0 R 11 0 R 12 0 R] >> << /Subtype /Type0 /ToUnicode 8 0 R >>"
+    heads = b"2 0 4 %d " % (inside.index(b"<< /Subtype") - inside.index(b"<< /Type"))
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        9: packed(heads + inside[inside.index(b"<< /Type") :], b"/Type /ObjStm /N 2 /First %d" % len(heads)),
+        5: b"<< /Subtype /Type1 /Encoding /WinAnsiEncoding >>", 8: packed(cmap), 7: packed(shown),
+        6: packed(b"BT /F1 12 Tf 72 600 Td (in a form) Tj ET", b"/Subtype /Form"),
+        10: b"<< /Type /Page /Contents [7 0 R] /Resources << /Font << /F1 5 0 R /F2 4 0 R >> /XObject << /X 6 0 R >> >> >>",
+        11: b"<< /Type /Page /Contents 20 0 R >>", 12: b"<< /Type /Page /Resources << /XObject << /I 13 0 R >> >> >>",
+        13: b"<< /Subtype /Image /Length 1 >>\nstream\nx\nendstream", 20: b"<< /Filter /FlateDecode /Length 3 >>\nstream\nbad\nendstream",
+    }
+    r = parsers.parse("pdf", pdf_of(objects))
+    assert r.segments[0]["content"] == "會議\nHello (PDF) été right\nworld x\nin a form" and len(r.segments) == 1 and r.status == "partial"
+    assert [(w["code"], w["location"]) for w in r.warnings] == [("page_failed", "page 2"), ("ocr_disabled", "page 3")]
+    assert parsers.parse("pdf", pdf_of(objects, b"/Encrypt 9 0 R ")).status == "encrypted" and parsers.parse("pdf", b"").status == "corrupt"
+
+
+def test_slides_inherit_decorations():
+    shape = lambda i, t, ph="": f'<p:sp><p:nvSpPr><p:cNvPr id="{i}"/><p:nvPr>{ph}</p:nvPr></p:nvSpPr><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sp>'
+    part = lambda tag, *s, more="": f'<p:{tag} xmlns:p="p" xmlns:a="a" {more}><p:cSld><p:spTree>{"".join(s)}</p:spTree></p:cSld></p:{tag}>'
+    links = lambda kind, to: f'<R><r Type="x/{kind}" Target="{to}"/></R>'
+    table = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="9"/></p:nvGraphicFramePr><a:tbl><a:tr><a:tc><a:p><a:r><a:t>c1</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>c2</a:t></a:r></a:p></a:tc></a:tr></a:tbl></p:graphicFrame>'
+    parts = {"ppt/slides/slide1.xml": part("sld", shape(2, "Title"), table), "ppt/slides/_rels/slide1.xml.rels": links("slideLayout", "../slideLayouts/l.xml"), "ppt/slideLayouts/l.xml": part("sldLayout", shape(3, "Prompt", "<p:ph/>"), shape(4, "Logo")), "ppt/slideLayouts/_rels/l.xml.rels": links("slideMaster", "../slideMasters/m.xml"), "ppt/slideMasters/m.xml": part("sldMaster", shape(5, "Footer"))}
+    r = parsers.parse("pptx", zipped(parts))
+    assert r.segments[0]["content"] == "Title | c1 | c2\nLogo\nFooter" and r.segments[0]["sources"][2]["location"] == "slide 1 slide shape 9 r1c2"
+    parts["ppt/slides/slide1.xml"] = part("sld", shape(2, "Title"), more='showMasterSp="0"')
+    assert parsers.parse("pptx", zipped(parts)).segments[0]["content"] == "Title\nLogo"
+
+
+def test_recognition(tmp_path):
+    program = tmp_path / "recognise"
+    program.write_text("#!/bin/sh\nprintf 'level\\tpage_num\\tblock_num\\tpar_num\\tline_num\\tword_num\\tleft\\ttop\\twidth\\theight\\tconf\\ttext\\n5\\t1\\t1\\t1\\t1\\t1\\t0\\t0\\t10\\t10\\t90\\tHello\\n5\\t1\\t1\\t1\\t1\\t2\\t20\\t0\\t10\\t10\\t90\\tscan\\n5\\t2\\t1\\t1\\t1\\t1\\t0\\t0\\t10\\t10\\t90\\tframe\\n'")
+    program.chmod(0o755)
+    r = ocr.Recogniser(str(program)).parse(b"image")
+    assert [(s["segment_id"], s["content"]) for s in r.segments] == [("1", "Hello scan"), ("2", "frame")] and r.status == "success"
+    program.write_text("#!/bin/sh\nsleep 5")
+    assert ocr.Recogniser(str(program), seconds=0).parse(b"x").warnings[0]["code"] == "ocr_failed"
+    assert ocr.Recogniser("/none").seconds == 30 and ocr.Recogniser(seconds=900).seconds == 120
+    words = ocr.Recogniser(str(tmp_path / "x")) and [{"left": 0, "top": 0, "width": 10, "height": 10}, {"left": 50, "top": 0, "width": 10, "height": 10}]
+    assert ocr.overlapping(words, [(0, 0, 6, 10)]) == words[1:] and ocr.overlapping(words, [(0, 0, 2, 10)]) == words
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "docs"
