@@ -21,7 +21,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--cursor")
     p.add_argument("--locations", type=int, metavar="DOC_ID")
-    p.add_argument("--context", nargs=3, type=int, metavar=("SEGMENT", "START", "END"))
+    p.add_argument("--context", metavar="LOCATION", help="a location as JSON: segment_row_id, start and end")
     p.add_argument("--offset", type=int, default=0)
     p.add_argument("--revision", type=int)
     p.add_argument("--regex", action="store_true")
@@ -30,7 +30,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--mode", choices=("literal", "expanded", "hybrid"), default="literal")
     p.add_argument("--synonyms", help="JSON file")
     p.add_argument("--quality", action="store_true")
-    p.add_argument("--reprocess", action="store_true")
+    p.add_argument("--reprocess", nargs="*", metavar="PATH", help="parse these files again, or all that another parser version made")
+    p.add_argument("--report", metavar="FILE", help="write the report of the run as JSON")
+    p.add_argument("--embedding-model", metavar="FOLDER", default=os.environ.get("FOLIOSCAN_MODEL"))
     p.add_argument("--build-vectors", action="store_true")
     p.add_argument("--self-check", action="store_true")
     p.add_argument("--watch", type=float, metavar="SECONDS", help="index again and, when something changed, search again at this pace")
@@ -64,7 +66,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 2 if e.code else 0
     from .facade import Engine
     from .operators.expand import read_synonyms
-    from .operators.vectors import HashEncoder
+    from .operators.vectors import HashEncoder, OnnxEncoder
     from .session import session
     from .sources.store import StoreError
 
@@ -78,13 +80,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         show(checks)
         return 0 if all(checks.values()) else 3
     try:
-        engine = Engine(spark, args.store, args.dir, encoder=HashEncoder())
+        if args.ocr:
+            from .sources import ocr
+
+            ocr.enable()
+        engine = Engine(spark, args.store, args.dir, encoder=OnnxEncoder(args.embedding_model) if args.embedding_model else HashEncoder())
         if args.dir:
             report = engine.run(backfill="ocr_disabled" if args.ocr else None)
-            if not args.search:
+            if args.report:
+                with open(args.report, "w", encoding="utf-8") as f:
+                    json.dump(report, f, ensure_ascii=False, default=str)
+            elif not args.search:
                 show(report)
-        if args.reprocess:
-            show(engine.start_reprocess())
+        if args.reprocess is not None:
+            show(engine.start_reprocess(args.reprocess or None))
         if args.build_vectors:
             show({"revision": engine.build_vectors()})
         options = {"match_case": args.match_case, "whole_word": args.whole_word, "regex": args.regex}
@@ -93,7 +102,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
             show(engine.match_locations(args.search or "", args.locations, options=Options(**options), offset=args.offset, limit=args.limit, revision=args.revision))
         elif args.context:
-            show(engine.match_context(*args.context))
+            place = json.loads(args.context)
+            show(engine.match_context(*(int(place[k]) for k in ("segment_row_id", "start", "end"))))
         elif args.search:
             synonyms = read_synonyms(args.synonyms)[0] if args.synonyms else None
             result = engine.search(args.search, args.type, args.limit, cursor=args.cursor, search_mode=args.mode, synonyms=synonyms, **options)
@@ -109,7 +119,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                     print(listing(engine.search(args.search, args.type, args.limit, **options)), flush=True)
         if args.quality:
             show(engine.problem_documents(args.offset, args.limit) | {"status": engine.index_status()})
-    except (QueryError, ValueError) as e:
+    except (QueryError, ValueError, KeyError, TypeError) as e:
         print(getattr(e, "code", str(e)), file=sys.stderr)
         return 2
     except (StoreError, OSError) as e:

@@ -174,7 +174,10 @@ class Engine:
         page = s.page(query, options, cursor, mode, fused)
         ids = [i["doc_id"] for i in page.items]
         by = {r["doc_id"]: r["matched_by"] for r in fused.where(F.col("doc_id").isin(ids)).select("doc_id", "matched_by").collect()}
-        shown = expand.passages(s.segments.where(F.col("doc_id").isin(ids)), [query, *terms], options.match_case, options.whole_word) if ids else {}
+        shown: dict[int, list[dict]] = {}
+        if ids:  # of the page only
+            for r in expand.passages(s.segments.where(F.col("doc_id").isin(ids)), [query, *terms], options.match_case, options.whole_word).orderBy("doc_id", "segment_row_id", "start").collect():
+                shown.setdefault(r["doc_id"], []).append({k: v for k, v in r.asDict(recursive=True).items() if k != "doc_id"})
         for item in page.items:
             item["matched_by"], item["passages"] = by.get(item["doc_id"], []), shown.get(item["doc_id"], [])
         page.semantic_ready, page.semantic_candidate_limit = ready, expand.SEMANTIC_MOST if mode == "hybrid" else None

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import literal
 from .filters import under
 from .ids import numbered
+from .occurrences import occurrences
+from .snippets import windows
 
-MOST = 32
+MOST, SOURCES = 32, 32
 RRF, EXPANSION, SEMANTIC_LEAST, SEMANTIC_MOST = 60, 1 / 1000, 0.65, 1000
 
 
@@ -85,21 +87,17 @@ def in_scope(scope: dict):
     return out & under("path", scope["path"]) if scope.get("path") else out
 
 
-def passages(segments: DataFrame, terms: list[str], match_case: bool = False, whole_word: bool = False, around: int = 120, most: int = 3) -> dict[int, list[dict]]:
-    """Of each document of a page the first `most` contexts of the terms; those that overlap an earlier one of the segment are left out."""
-    flags = 0 if match_case else re.IGNORECASE
-    shape = re.compile("|".join(rf"(?<!\w){re.escape(t)}(?!\w)" if whole_word else re.escape(t) for t in terms), flags)
+def passages(segments: DataFrame, terms: list[str], match_case: bool = False, whole_word: bool = False, around: int = 120, most: int = 3) -> DataFrame:
+    """(doc_id, segment_row_id, start, end, text, sources): of each document the first `most` contexts of the terms, each with the sources it touches,
+    SOURCES at most; contexts that begin inside an earlier one of the segment are left out. Only contexts leave the executors."""
+    flags = 0 if match_case else int(re.IGNORECASE)
     any_ = F.lit(False)
     for t in terms[: MOST + 1]:
         any_ = any_ | F.col("content").rlike(literal(t, match_case, whole_word))
-    out: dict[int, list[dict]] = {}
-    for r in segments.where(any_).orderBy("doc_id", "segment_row_id").select("doc_id", "segment_row_id", "content").toLocalIterator():
-        mine, last = out.setdefault(r["doc_id"], []), -1
-        for m in shape.finditer(r["content"]):
-            if len(mine) == most:
-                break
-            start, end = max(0, m.start() - around), min(len(r["content"]), m.end() + around)
-            if start > last:
-                mine.append({"segment_row_id": r["segment_row_id"], "start": start, "end": end, "text": r["content"][start:end]})
-                last = end
-    return out
+    shape = lambda t: rf"(?<!\w){re.escape(t)}(?!\w)" if whole_word else re.escape(t)
+    kept = ["doc_id", "segment_row_id", "content"] + [c for c in segments.columns if c == "sources"]
+    found = occurrences(segments.where(any_).select(*kept), [{"kind": "literal", "term": t, "pattern": shape(t), "flags": flags} for t in terms[: MOST + 1]])
+    rows = found.select(*kept, F.explode(windows(F.col("content"), F.col("spans"), most, around)).alias("w"))
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("segment_row_id", "w.left"))).where(F.col("n") <= most)
+    touching = F.slice(F.filter("sources", lambda s: (s["start"] < F.col("w.right")) & (s["end"] > F.col("w.left"))), 1, SOURCES) if "sources" in kept else F.lit(None)
+    return first.select("doc_id", "segment_row_id", F.col("w.left").alias("start"), F.col("w.right").alias("end"), F.substring("content", F.col("w.left") + 1, F.col("w.right") - F.col("w.left")).alias("text"), touching.alias("sources"))

@@ -51,3 +51,17 @@ def page(ranked: DataFrame, limit: int, after: tuple[float, int] | None = None)
         rank, doc = after
         ranked = ranked.where((F.col("rank_score") > rank) | ((F.col("rank_score") == rank) & (F.col("doc_id") > doc)))
     return ranked.orderBy("rank_score", "doc_id").limit(limit)
+
+
+#: What a table of results is sorted by.
+SORTS = {"type": F.lower, "name": F.lower, "hits": None, "size": None, "mtime": None, "path": F.lower}
+COLUMNS = {"type": "file_type", "name": "filename", "size": "file_size"}
+
+
+def sorted_results(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """Documents by type, name, hits, size, mtime or path, texts without regard to case, ties by doc_id."""
+    if by not in SORTS:
+        raise ValueError(f"sorted by one of {', '.join(SORTS)}")
+    key = F.col(COLUMNS.get(by, by))
+    key = SORTS[by](key) if SORTS[by] else key
+    return df.orderBy(key.desc() if descending else key.asc(), "doc_id")

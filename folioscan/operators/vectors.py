@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,3 +73,51 @@ def encode(df: DataFrame, key: str, text: str, encoder, prefix: str = "passage:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.list_(pa.float32()))], [key, "vector"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<float>")
+
+
+def model_id(folder: str) -> str:
+    """The identity of a model folder: where it is, and the sizes and times of its files."""
+    root = os.path.realpath(folder)
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names)
+    rows = [(os.path.relpath(f, root), (s := os.stat(f)).st_size, s.st_mtime_ns) for f in files]
+    return hashlib.sha256(json.dumps([root, rows]).encode()).hexdigest()
+
+
+class OnnxEncoder:
+    """A text encoder from a folder with model.onnx and tokenizer.json, the same on every executor; means of the last states, of unit length.
+
+    The session is made where it is first used, so the object travels as a path.
+    """
+
+    max_tokens = 512
+
+    def __init__(self, folder: str):
+        if not all(os.path.isfile(os.path.join(folder, f)) for f in ("model.onnx", "tokenizer.json")):
+            raise ValueError("an encoder's folder holds model.onnx and tokenizer.json")
+        self.folder, self.model_id, self._made = folder, model_id(folder), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def _parts(self):
+        if self._made is None:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            self._made = (Tokenizer.from_file(os.path.join(self.folder, "tokenizer.json")), onnxruntime.InferenceSession(os.path.join(self.folder, "model.onnx")))
+        return self._made
+
+    def token_count(self, text: str) -> int:
+        return len(self._parts()[0].encode(text).ids)
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        tokenizer, model = self._parts()
+        ids = [tokenizer.encode(t).ids[: self.max_tokens] for t in texts]
+        wide = max(map(len, ids), default=1)
+        mask = np.array([[1] * len(x) + [0] * (wide - len(x)) for x in ids], np.int64)
+        given = {"input_ids": np.array([x + [0] * (wide - len(x)) for x in ids], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+        states = model.run(None, {i.name: given[i.name] for i in model.get_inputs()})[0]
+        mean = (states * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).tolist()

@@ -289,6 +289,12 @@ def _(s, d):
     return docs(s, d).orderBy(F.lower("filename"), "doc_id").limit(100).select("doc_id", "filename")
 
 
+for _by, _sql in (("type", "lower(file_type)"), ("size", "file_size"), ("mtime", "mtime"), ("path", "lower(path)")):
+    query(f"sort_by_{_by}", f"SELECT doc_id, CAST(n AS INT) AS n FROM (SELECT doc_id, row_number() OVER (ORDER BY {_sql} DESC, doc_id) AS n FROM documents) WHERE n <= 200")(
+        lambda s, d, by=_by: rank.sorted_results(docs(s, d), by, descending=True).limit(200).select("doc_id", (F.monotonically_increasing_id() + 1).cast("int").alias("n"))
+    )
+
+
 # occurrences
 
 

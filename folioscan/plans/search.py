@@ -6,6 +6,8 @@ import base64
 import hashlib
 import json
 import re
+import threading
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,6 +25,8 @@ from .querylang import Node, QueryError, filename_term, negative_term, parse
 
 # Fixed value: the segment type of a hit in a file's name.
 FILENAME = "檔名"
+#: Time that the ranking of a regular expression may take.
+REGEX_SECONDS = 10.0
 
 
 @dataclass
@@ -217,6 +221,39 @@ class Searcher:
         check = F.col("filename").rlike(literal(name, options.match_case, options.whole_word, folding.class_pattern(name, self.spark)))
         return self.documents.where(options.condition() & wanted & check)
 
+    def fallback(self, keywords: list[str]) -> DataFrame:
+        """Segments whose folded text holds all keywords as they are; a search without index, language and ranking."""
+        text, out = F.lower(folding.fold("content", self.spark)), F.lit(True)
+        for k in keywords:
+            out = out & F.contains(text, F.lit(folding.fold_text(k, self.spark).lower()))
+        return self.segments.where(out)
+
+    def _in_time(self, options: Options, run):
+        """run(), of regular expressions within REGEX_SECONDS: beyond, its jobs are cancelled and the search ends with an error."""
+        if not options.regex:
+            return run()
+        sc, group, late = self.spark.sparkContext, f"regex-{uuid.uuid4().hex}", threading.Event()
+
+        def end():
+            late.set()
+            sc.cancelJobGroup(group)
+
+        sc.setJobGroup(group, "regular expression", interruptOnCancel=True)
+        timer = threading.Timer(REGEX_SECONDS, end)
+        timer.start()
+        try:
+            out = run()
+        except Exception:
+            if late.is_set():
+                raise QueryError("regex_timeout") from None
+            raise
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        if late.is_set():
+            raise QueryError("regex_timeout")
+        return out
+
     def without(self, term: str, options: Options | None = None) -> DataFrame:
         """Documents no segment of which matches, those without segments too."""
         options = options or Options()
@@ -261,7 +298,7 @@ class Searcher:
         # all matching documents are counted as they pass to the page, in the same job
         total = Observation()
         ranked = (self.ranked(query, options) if ranked is None else ranked).observe(total, F.count(F.lit(1)).alias("n"))
-        rows = rank.page(ranked, options.limit + 1, after).collect()  # at most limit + 1 rows
+        rows = self._in_time(options, rank.page(ranked, options.limit + 1, after).collect)  # at most limit + 1 rows
         shown, more = rows[: options.limit], len(rows) > options.limit
         items = self._items(shown, query, options)
         last = shown[-1] if more else None

@@ -9,10 +9,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from folioscan import mcp
 from folioscan.config import Settings
 from folioscan.facade import Engine
 from folioscan.operators.changes import debounced, diff, log_state
-from folioscan.operators.vectors import HashEncoder
+from folioscan.operators.vectors import HashEncoder, OnnxEncoder, model_id
 from folioscan.sources import files, ocr, parsers
 from folioscan.sources.decode import decode
 from folioscan.sources import store as store_module
@@ -368,3 +369,30 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert "new.txt" in capsys.readouterr().out
     began = time.time()
     assert main([*store, "--quality"], spark) == 0 and time.time() - began < 120
+
+
+def test_tools(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "st"), [str(tree)])
+    e.run()
+    out = io.StringIO()
+    ask = lambda n, method, **params: json.dumps({"jsonrpc": "2.0", "id": n, "method": method, "params": params})
+    call = lambda n, name, **given: ask(n, "tools/call", name=name, arguments=given)
+    lines = [ask(1, "initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(2, "tools/list"), call(3, "search_documents", query="budget"), call(4, "search_documents", query="a AND"), call(5, "search_documents"), call(6, "none"), "{", ask(7, "resources/read", uri=f"folioscan://document/{tree}/a.txt"), ask(8, "resources/read", uri="x"), call(9, "get_index_status"), call(10, "get_problem_documents", limit=5), ask(11, "other")]
+    mcp.serve(e, lines, out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    by = {x["id"]: x for x in said}
+    data = lambda n: json.loads(by[n]["result"]["content"][0]["text"])
+    assert len(said) == 12 and by[1]["result"]["serverInfo"]["name"] == "folioscan" and len(by[2]["result"]["tools"]) == 7
+    assert data(3)["result_count"] == 2 and data(4)["error"] == "operator_position" and data(5)["error"] == "arguments" and by[6]["result"]["isError"] and by[None]["error"]["code"] == -32700
+    assert "annual budget" in by[7]["result"]["contents"][0]["text"] and "error" in by[8] and data(9)["documents"] == 4 and len(data(10)["documents"]) == 1 and by[11]["error"]["code"] == -32601
+
+
+def test_model_identity(tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "model.onnx").write_bytes(b"1")
+    one = model_id(str(tmp_path / "m"))
+    assert one == model_id(str(tmp_path / "m"))
+    (tmp_path / "m" / "model.onnx").write_bytes(b"22")
+    assert one != model_id(str(tmp_path / "m"))
+    with pytest.raises(ValueError):
+        OnnxEncoder(str(tmp_path / "m"))

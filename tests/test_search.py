@@ -7,6 +7,7 @@ from folioscan.operators.occurrences import merge_islands, merged
 from folioscan.operators.snippets import context_of, shown, snippets
 from folioscan.plans.index import TextIndex, index_of
 from folioscan.plans.querylang import QueryError
+from folioscan.plans import search as search_module
 from folioscan.plans.search import Options, Searcher
 
 TEXTS = {
@@ -202,5 +203,26 @@ def test_filename_hits_and_scopes(s, tmp_path):
     assert page.items[0]["segments"][0]["location_type"] == "檔名" and "<mark>Alpha</mark>" in page.items[0]["segments"][0]["snippets"][0]
     inside = s.documents.where(expand.in_scope({"file_type": "pdf", "path": "/srv/share/a"}))
     assert [r["doc_id"] for r in inside.collect()] == [1]
-    shown = expand.passages(s.segments, ["budget"])
-    assert len(shown[10]) == 1 and shown[11][0]["text"].startswith("budget reviewed")
+    shown = {}
+    for r in expand.passages(s.segments, ["budget"]).collect():
+        shown.setdefault(r["doc_id"], []).append(r)
+    assert len(shown[10]) == 1 and shown[11][0]["text"].startswith("budget reviewed") and [x["location"] for x in shown[11][0]["sources"]] == ["p0", "p0b"]
+
+
+def test_result_sorts(s):
+    rows = s.documents.withColumn("hits", F.col("doc_id") % 3)
+    first = lambda by, **k: [r["doc_id"] for r in rank.sorted_results(rows, by, **k).limit(2).collect()]
+    assert first("size") == [1, 2] and first("size", descending=True) == [14, 13] and first("name") == [1, 10] and first("hits", descending=True) == [2, 5] and first("type") == [2, 1]
+    with pytest.raises(ValueError):
+        rank.sorted_results(rows, "colour")
+
+
+def test_fallback_and_keywords(s):
+    assert [r["doc_id"] for r in s.fallback(["會議", "纪"]).collect()] == [] and sorted(r["doc_id"] for r in s.fallback(["budget", "committee"]).collect()) == [11]
+
+
+def test_regex_budget(s, monkeypatch):
+    monkeypatch.setattr(search_module, "REGEX_SECONDS", 0.0)
+    with pytest.raises(QueryError) as e:
+        s.page("(a+)+b", Options(regex=True))
+    assert e.value.code == "regex_timeout"
