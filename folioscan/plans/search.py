@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 import threading
 import uuid
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,17 +80,18 @@ class Page:
 
 
 def stem_words(segments: DataFrame, word: str) -> list[str]:
-    """The corpus words with the stem of word: the distinct words that begin as it does, read by the JVM, are stemmed on the driver."""
+    """The corpus words with the stem of word, where there is no index: the distinct words that begin as it does are read by the JVM and stemmed by the
+    executors; only those of the stem come to the driver."""
     root = stem(word)
-    shared = ""
-    for a, b in zip(word.lower(), root):
-        if a != b:
-            break
-        shared += a
-    shared = shared or word[:2].lower()
+    shared = os.path.commonprefix([word.lower(), root]) or word[:2].lower()
     pattern = rf"(?i)(?<![\p{{L}}\p{{N}}]){quoted(shared)}[A-Za-z]*(?![\p{{L}}\p{{N}}])"
     found = segments.select(F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
-    return sorted({r[0] for r in found.toLocalIterator() if stem(r[0]) == root} | {word.lower()})
+
+    def same(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if stem(w) == root], pa.string())], ["w"])
+
+    return sorted({r[0] for r in found.mapInArrow(same, "w string").collect()} | {word.lower()})
 
 
 class Term:
