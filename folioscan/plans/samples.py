@@ -90,7 +90,7 @@ class State:
     """The folder, its store, and the steps taken on them: read, index, search, change, index again, live batches."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, base = spark, f"{shared.work_folder(spark).removeprefix('file://')}/folioscan-sample-{uuid.uuid4().hex[:8]}"
+        self.spark, base = spark, f"{re.sub('^file:/+', '/', shared.work_folder(spark))}/folioscan-sample-{uuid.uuid4().hex[:8]}"
         self.root, self.rows = f"{base}/tree", {}
         for name, data in TREE.items():
             self.put(name, data)
