@@ -149,6 +149,9 @@ class ItemIndex:
         starts = windows(row, span)
         self.span, self.distance, self.ids = span, distance, np.array(ids, np.int64)
         self.units, self.tables, self.gate = u, [], None
+        # units of the items, by 16 bits of their hashes
+        self.own = np.zeros(1 << 16, bool)
+        self.own[(np.unique(u) & np.uint64(0xFFFF)).astype(np.int64)] = True
         if not distance:
             first = np.unique(u[starts])
             self.gate = np.zeros(1 << 16, bool)
@@ -166,6 +169,11 @@ class ItemIndex:
         starts = windows(row, max(1, self.span - self.distance))
         if self.gate is not None:
             starts = starts[self.gate[(u[starts] & np.uint64(0xFFFF)).astype(np.int64)]]
+        elif len(starts):
+            # all but `distance` of an item window's units stand in the stretch that it is near to, which has that many more at most
+            count = np.concatenate([[0], np.cumsum(self.own[(u & np.uint64(0xFFFF)).astype(np.int64)])])
+            end = np.minimum(starts + self.span + self.distance, len(u))
+            starts = starts[count[end] - count[starts] >= self.span - self.distance]
         for at, seed, known, keys, item_start, item_row in self.tables:
             if not len(starts):
                 continue
