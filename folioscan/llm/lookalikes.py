@@ -44,7 +44,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size[i] = len(text)
         form[i, : len(text)] = [ord(c) for c in text]
 
-    for i in range(0x80, 0x20000):
+    for i in (*range(0x80, 0x20000), *range(0x2F800, 0x2FA20)):
         c = chr(i)
         kind = unicodedata.category(c)
         if kind == "Cn":
@@ -62,7 +62,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             usual = unicodedata.normalize("NFKC", c)
             radical = 0x2E80 <= i <= 0x2FDF
             letter = kind[0] == "L" or kind == "Nd"
-            if usual != c and len(usual) <= WIDE and (radical or letter and (tag in ("<font>", "<wide>", "<narrow>") or tag == "<compat>" and i >= 0x2000 or 0xF900 <= i <= 0xFAFF)):
+            if usual != c and len(usual) <= WIDE and (radical or letter and (tag in ("<font>", "<wide>", "<narrow>") or tag == "<compat>" and i >= 0x2000 or 0xF900 <= i <= 0xFAFF or i >= 0x2F800)):
                 bits[i] |= CASE
                 set_form(i, usual)
     for i in ZERO_WIDTH:
