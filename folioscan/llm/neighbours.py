@@ -4,16 +4,18 @@ A hierarchical navigable small-world graph per shard (Malkov and Yashunin 2016),
 
 Equal vectors are one node with the k+1 least ids (a limit inside the partitions comes before their shuffle), so a mass of copies is one node, and what
 is found for a node is joined back to all of its ids. Shards are the cells of pivots fitted on a bounded sample (spherical k-means on at most PIVOT_SAMPLE
-vectors); every node is a member of its MEMBERS nearest cells, so close vectors on two sides of a border meet in one of them. Their number follows the
-number of nodes. What one sample can have as pivots is bounded, so cells that are too large, because of that or of dense regions, get pivots of their own
-from some of their nodes and are parted once more in the same way; no node is sent to all parts.
+vectors); every node is a member of those cells, up to MOST, whose pivots are less than MARGIN farther than the nearest one, so close vectors on two sides
+of a border meet in one of them, while a node deep in a cell moves once. Borders grow with the number of cells, so shards are as large as a task can hold;
+their number follows the number of nodes. What one sample can have as pivots is bounded, so cells that are too large, because of that or of dense regions,
+get pivots of their own from some of their nodes and are parted once more in the same way; no node is sent to all parts.
 
 In a shard the graph is built from the top: a level holds a random 1/RATIO of the nodes of the level below; each node of a level descends the graph
 above by beam search to its nearest anchors, nodes that meet at an anchor are compared as a block, and links are half the nearest and half the
-diversified candidates, plus reverse links. Then each asking node searches level 0 from its links. All steps run over all nodes of a level as numpy arrays.
+diversified candidates, plus reverse links. The top level, of HEAD nodes at most, is compared in full. Then each asking node searches level 0 from its
+links. All steps run over all nodes of a level as numpy arrays.
 
 Two uses: all vectors ask, for neighbours that are near (a cosine of at least LEAST: a short search in their own cells finds these); or some vectors ask
-for their k nearest however far these are, in ASKED cells and by a long search, which is what isolated vectors need.
+for their k nearest however far these are, in ASKED cells of members of their MEMBERS nearest, and by a long search, which is what isolated vectors need.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import points as P
-from .tables import cut, read, sampled, spread
+from .tables import cut, read, sampled
 
 K, LEAST, DIMENSIONS = 5, 0.85, 64
-SHARD, MEMBERS, PIVOT_SAMPLE = 4_096, 2, 20_000
-RATIO, LINKS, ANCHORS, EF, STEPS = 16, 12, 3, 24, 4
+#: Nodes to a cell, not counting second memberships; small inputs have cells of an eighth of that until there are FEW.
+SHARD, FEW, MEMBERS, PIVOT_SAMPLE = 32_768, 32, 2, 20_000
+MOST, MARGIN = 4, 0.05
+RATIO, HEAD, LINKS, ANCHORS, EF, STEPS = 64, 2_048, 12, 4, 24, 2
 #: Cells and length of the search of vectors that ask for their nearest however far they are.
 ASKED, LONG_EF, LONG_STEPS = 12, 128, 64
-BATCH = 2048
+BATCH, PAIRS = 2048, 1 << 15
 #: Tasks of a cell that is parted.
 SALTS = 16
 
@@ -108,15 +112,16 @@ def merge_rows(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, n: int, wi
 
 
 def blockwise(x: np.ndarray, anchor: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Nodes that share an anchor are compared; [n, width] nearest of each."""
-    node = np.repeat(np.arange(n), anchor.shape[1])
+    """Nodes that share an anchor are compared; [n, width] nearest of each, -1 where there are fewer."""
+    places = anchor.shape[1]
     flat = anchor.ravel()
-    node, flat = node[flat >= 0], flat[flat >= 0]
-    o = np.argsort(flat, kind="stable")
-    node, flat = node[o], flat[o]
-    begin = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    slot = np.flatnonzero(flat >= 0)
+    slot = slot[np.argsort(flat[slot], kind="stable")]
+    flat, node = flat[slot], slot // places
+    begin = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else slot
     size = np.diff(np.r_[begin, len(flat)])
-    owner, other, sims = [], [], []
+    # what each node finds at each of its anchors
+    near, sims = np.full((n * places, width), -1, np.int32), np.full((n * places, width), -2, np.float32)
     order = np.argsort(size, kind="stable")
     i = 0
     while i < len(order):
@@ -124,9 +129,9 @@ def blockwise(x: np.ndarray, anchor: np.ndarray, n: int, width: int) -> np.ndarr
         while j < len(order) and size[order[j]] <= size[order[i]] * 1.25 + 4 and (j - i + 1) * size[order[j]] ** 2 <= 1 << 20:
             j += 1
         group, w = order[i:j], int(size[order[j - 1]])
-        cell = begin[group][:, None] + np.arange(w)
+        cell = np.minimum(begin[group][:, None] + np.arange(w), len(node) - 1)
         real = np.arange(w) < size[group][:, None]
-        member = np.where(real, node[np.minimum(cell, len(node) - 1)], -1)
+        member = node[cell]
         v = x[member]
         step = max(64, (1 << 21) // w)
         for r in range(0, w, step):
@@ -135,16 +140,22 @@ def blockwise(x: np.ndarray, anchor: np.ndarray, n: int, width: int) -> np.ndarr
             rows = np.arange(s.shape[1])
             s[:, rows, rows + r] = -2
             s = s.reshape(-1, w)
-            best = top(s, min(width, w))
-            value = np.take_along_axis(s, best, 1)
-            who = member[:, r : r + step].ravel()
-            near = member[np.repeat(np.arange(len(group)), len(rows))[:, None], best]
-            ok = (value > -2) & (who >= 0)[:, None]
-            owner.append(np.broadcast_to(who[:, None], near.shape)[ok])
-            other.append(near[ok])
-            sims.append(value[ok])
+            some = real[:, r : r + step].ravel()
+            best = top(s, width)
+            at = slot[cell[:, r : r + step].ravel()[some]]
+            near[at, : best.shape[1]] = member[np.repeat(np.arange(len(group)), len(rows))[:, None], best][some]
+            sims[at, : best.shape[1]] = np.take_along_axis(s, best, 1)[some]
         i = j
-    return merge_rows(np.concatenate(owner), np.concatenate(other), np.concatenate(sims), n, width) if owner else np.full((n, width), -1, np.int64)
+    near[sims <= -2] = -1
+    near, sims = near.reshape(n, -1), sims.reshape(n, -1)
+    out = np.full((n, width), -1, np.int64)
+    for a in range(0, n, BATCH):
+        o = np.argsort(near[a : a + BATCH], axis=1, kind="stable")
+        who, sim = np.take_along_axis(near[a : a + BATCH], o, 1), np.take_along_axis(sims[a : a + BATCH], o, 1)
+        sim[:, 1:][who[:, 1:] == who[:, :-1]] = -2
+        best = top(sim, width)
+        out[a : a + BATCH, : best.shape[1]] = np.where(np.take_along_axis(sim, best, 1) > -2, np.take_along_axis(who, best, 1), -1)
+    return out
 
 
 def select(x: np.ndarray, candidates: np.ndarray, width: int) -> np.ndarray:
@@ -186,7 +197,7 @@ class Graph:
         self.order = np.random.default_rng(11).permutation(n)
         self.x = np.ascontiguousarray(x[self.order], np.float32)
         self.sizes = [n]
-        while self.sizes[-1] > 4 * RATIO:
+        while self.sizes[-1] > HEAD:
             self.sizes.append(-(-self.sizes[-1] // RATIO))
         self.links: list[np.ndarray] = [np.zeros((0, 0), np.int64)] * len(self.sizes)
         for level in range(len(self.sizes) - 1, -1, -1):
@@ -215,12 +226,11 @@ class Graph:
 
 def nearest(node: np.ndarray, lists: pa.ListArray, vectors: np.ndarray, member: np.ndarray, asks: np.ndarray, k: int, least: float, long: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, id, cosine) in one shard: the listed ids of the nodes nearest to each asking node, its own among them, k+1 at most."""
-    exact = np.ascontiguousarray(vectors, np.float32).astype(np.float64)
-    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
     inside, rows = np.flatnonzero(member), np.flatnonzero(asks)
     if not len(inside) or not len(rows):
         return node[:0], node[:0], np.zeros(0)
-    graph = Graph(exact[inside].astype(np.float32))
+    x = np.concatenate([unit(vectors[a : a + BATCH]) for a in range(0, len(vectors), BATCH)])
+    graph = Graph(x[inside])
     slot = np.full(len(node), -1, np.int64)
     slot[inside[graph.order]] = np.arange(len(inside))
     effort = {"ef": LONG_EF, "steps": LONG_STEPS} if long else {}
@@ -228,12 +238,12 @@ def nearest(node: np.ndarray, lists: pa.ListArray, vectors: np.ndarray, member:
     for some, start in ((rows[slot[rows] >= 0], True), (rows[slot[rows] < 0], False)):
         if len(some):
             at = slot[some]
-            got = graph.search(exact[some].astype(np.float32), k + 1, np.hstack([at[:, None], graph.links[0][at]]) if start else None, **effort)[0]
-            found[some, : got.shape[1]] = got
+            got, sim = graph.search(x[some], k + 1, np.hstack([at[:, None], graph.links[0][at]]) if start else None, **effort)
+            found[some, : got.shape[1]] = np.where(sim >= least - 1e-3, got, -1)  # single precision; the exact cosine decides below
     own = rows[slot[rows] >= 0]
     r, c = np.nonzero(found >= 0)
     r, other = np.r_[r, own], np.r_[inside[graph.order[found[r, c]]], own]
-    cos = np.round(np.einsum("ed,ed->e", exact[r], exact[other]), 12)
+    cos = np.concatenate([np.round(np.einsum("ed,ed->e", exact(vectors[r[a : a + PAIRS]]), exact(vectors[other[a : a + PAIRS]])), 12) for a in range(0, max(len(r), 1), PAIRS)])
     cos[node[r] == node[other]] = 1.0
     keep = cos >= least
     r, other, cos = r[keep], other[keep], cos[keep]
@@ -267,16 +277,27 @@ def matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float32, len(column) * dimensions, offset=at).reshape(-1, dimensions)
 
 
+def exact(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.maximum(np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True), 1e-300)).astype(np.float32)
+    return exact(v).astype(np.float32)
 
 
-def nearest_cells(v: np.ndarray, centre: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, place among the row's nearest) of the many[row] nearest cells of each row."""
+def nearest_cells(v: np.ndarray, centre: np.ndarray, many: np.ndarray, margin: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, place among the row's nearest) of the many[row] nearest cells of each row; of those within the margin of the nearest one, if it is given."""
     width = min(int(many.max()), len(centre))
-    cell = np.concatenate([top(v[a : a + BATCH] @ centre.T, width) for a in range(0, len(v), BATCH)])
-    r, p = np.nonzero(np.arange(width) < many[:, None])
-    return r, cell[r, p], p
+    cells, some = [], []
+    for a in range(0, len(v), BATCH):
+        sim = v[a : a + BATCH] @ centre.T
+        best = top(sim, width)
+        sim = np.take_along_axis(sim, best, 1)
+        cells.append(best)
+        some.append((np.arange(width) < many[a : a + BATCH, None]) & (margin is None or sim[:, :1] - sim <= margin))
+    r, p = np.nonzero(np.concatenate(some))
+    return r, np.concatenate(cells)[r, p], p
 
 
 ROUTED = "cell int, part int, node long, ids array<long>, v binary, member boolean, asks boolean"
@@ -294,9 +315,10 @@ def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K
     usual = df.where(F.col(key).isNotNull() & usable(vector, dimensions))
     rows = usual.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), ask.alias("asks")).withColumn("node", F.xxhash64("v"))
     place = F.row_number().over(W.partitionBy("node").orderBy("id"))
-    # the limit is taken inside the partitions before the shuffle, and again after it
-    once = spread(rows.groupBy("node", "id").agg(F.first("v").alias("v"))).withColumn("place", place).where(F.col("place") <= k + 1)
-    nodes = once.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
+    # the limit is taken inside the partitions before the shuffle, and again after it; a vector moves once, without its ids
+    once = rows.select("node", "id").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
+    listed = once.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = listed.join(rows.groupBy("node").agg(F.first("v").alias("v")), "node")
     if asked is not None:
         nodes = nodes.join(rows.where("asks").select("node").distinct().withColumn("asks", F.lit(True)), "node", "left")
     else:
@@ -312,8 +334,9 @@ def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K
     taken = nodes.count()
     sample = sampled(nodes.select("node", "v"), PIVOT_SAMPLE, "node", taken).select("v")
     x = unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample.toLocalIterator()), np.float32).reshape(-1, dimensions))
-    centre = spark.sparkContext.broadcast(pivots(x, max(1, min(len(x) // 8, math.ceil(taken / shard)))) if len(x) else np.zeros((1, dimensions), np.float32))
-    long, wide = asked is not None, ASKED if asked is not None else MEMBERS
+    centre = spark.sparkContext.broadcast(pivots(x, max(1, min(len(x) // 8, max(math.ceil(taken / shard), min(FEW, math.ceil(8 * taken / shard)))))) if len(x) else np.zeros((1, dimensions), np.float32))
+    long = asked is not None
+    wide, members, margin = (ASKED, MEMBERS, None) if long else (MOST, MOST, MARGIN)
 
     def route(batches):
         for batch in batches:
@@ -321,16 +344,16 @@ def knn(df: DataFrame, key: str = "chunk_id", vector: str = "vector", k: int = K
                 continue
             node, ids, v, asks = batch.columns
             asking = asks.to_numpy(zero_copy_only=False)
-            r, cell, p = nearest_cells(unit(matrix(v, dimensions)), centre.value, np.where(asking, wide, MEMBERS))
-            yield routed(cell, np.zeros(len(r), np.int32), node, ids, v, r, p < MEMBERS, asking[r])
+            r, cell, p = nearest_cells(unit(matrix(v, dimensions)), centre.value, np.where(asking, wide, members), margin)
+            yield routed(cell, np.zeros(len(r), np.int32), node, ids, v, r, p < members, asking[r])
 
     first = nodes.mapInArrow(route, ROUTED)
     # the members of the cells, judged by an eighth of the nodes; one small row for each cell that is too large
     eighth = nodes.where(F.pmod(F.shiftright("node", 7), F.lit(8)) == 0).mapInArrow(route, ROUTED).where("member")
-    most = 4 * shard * MEMBERS
+    most = 2 * shard * MEMBERS
     large = cut(eighth.groupBy("cell").count().where(F.col("count") * 8 > most).select("cell", F.lit(1 / (shard * MEMBERS)).alias("share")))
     if large.limit(1).count():
-        first = parted(first, large, dimensions, wide)
+        first = parted(first, large, dimensions, max(members, wide // 2), members, margin)
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -356,7 +379,7 @@ def routed(cell, part, node, ids, v, r, member, asks) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["cell", "part", "node", "ids", "v", "member", "asks"])
 
 
-def parted(first: DataFrame, large: DataFrame, dimensions: int, wide: int) -> DataFrame:
+def parted(first: DataFrame, large: DataFrame, dimensions: int, wide: int, members: int, margin: float | None) -> DataFrame:
     """Rows of large cells go to their nearest parts in the cell, whose pivots are some of its members, as many as there are to be parts.
 
     A cell is dealt to SALTS tasks by the hashes of its nodes, and its pivots are sent to each of them ahead of the nodes.
@@ -384,8 +407,8 @@ def parted(first: DataFrame, large: DataFrame, dimensions: int, wide: int) -> Da
                     continue
                 inside, asking = (f.to_numpy(zero_copy_only=False)[c:b].astype(bool) for f in (member, asks))
                 centre = pivots_ if len(pivots_) else np.zeros((1, dimensions), np.float32)
-                r, part, p = nearest_cells(x[c:b], centre, np.where(asking, max(MEMBERS, wide // 2), MEMBERS))
-                yield routed(np.full(len(r), cell[a]), part + 1, node, ids, v, r + c, inside[r] & (p < MEMBERS), asking[r])
+                r, part, p = nearest_cells(x[c:b], centre, np.where(asking, wide, members), margin)
+                yield routed(np.full(len(r), cell[a]), part + 1, node, ids, v, r + c, inside[r] & (p < members), asking[r])
 
     dealt = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "head").mapInArrow(route, ROUTED)
     return flagged.where("share is null").select("cell", "part", "node", "ids", "v", "member", "asks").union(dealt)

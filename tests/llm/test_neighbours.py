@@ -88,3 +88,27 @@ def test_a_third_is_one_vector(spark):
     for r in N.knn(frame(spark, range(300), x)).collect():
         got.setdefault(r["id"], set()).add(r["other"])
     assert set(got) == set(range(0, 300, 3)) and got[0] == {3, 6, 9, 12, 15} and got[297] == {0, 3, 6, 9, 12} and got[6] == {0, 3, 9, 12, 15}
+
+
+def test_close_vectors_share_one_of_many_cells():
+    rng = np.random.default_rng(8)
+    x = N.unit(np.repeat(rng.normal(size=(60, 64)), 100, axis=0) + 0.8 * rng.normal(size=(6000, 64)))
+    y = N.unit(x + 0.065 * rng.normal(size=x.shape))
+    centre = N.pivots(x, 1500)
+    cells = [np.zeros((6000, len(centre)), bool) for _ in range(2)]
+    for v, own in zip((x, y), cells):
+        row, cell, _ = N.nearest_cells(v, centre, np.full(6000, N.MOST), N.MARGIN)
+        own[row, cell] = True
+    two = [N.top(v @ centre.T, 2) for v in (x, y)]
+    before = np.mean((two[0][:, :, None] == two[1][:, None, :]).any((1, 2)))
+    after = np.mean((cells[0] & cells[1]).any(1))
+    assert after > 0.998 > before and cells[0].sum() < 2 * 6000
+
+
+def test_graph_of_a_large_cell():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(10000, 32)), 2, axis=0) + 0.2 * rng.normal(size=(20000, 32))
+    g = N.Graph((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+    at = np.arange(0, 20000, 10)
+    node, _ = g.search(g.x[at], 6, np.hstack([at[:, None], g.links[0][at]]))
+    assert np.mean((g.order[node] == (g.order[at] ^ 1)[:, None]).any(1)) > 0.98
