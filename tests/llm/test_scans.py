@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioscan.llm import scans as S
@@ -68,3 +69,21 @@ def test_copies_of_a_page_do_not_hide_its_misread_sign(spark):
     df = spark.createDataFrame(clean + copies, "segment_row_id long, segment_type string, content string")
     assert {r[0] for r in S.scanned(df).collect()} == {r[0] for r in copies}
     assert {r[1] for r in S.repaired(df).collect()} == {right}
+
+
+def test_words_with_many_edits(spark):
+    """Words with more hard signs, letters or soft places than are listed find their clean word too."""
+    long = "supercalifragilisticexpialidocious" * 2
+    pairs = {"1mp0ss1b111t1es": "impossibilities", "aeeommodatedcircumstance": "accommodatedcircumstance", long.replace("docious", "docions") + "t1on": long.replace("docious", "docions") + "tion", "tab1e": "table"}
+    rows = [(k, 1, 0, 1) for k in pairs] + [(v, 0, 500, 0) for v in pairs.values()] + [("1mp0ss1b111t1ez", 1, 0, 1)]
+    weights = spark.sparkContext.broadcast((np.ones(S.WEIGHTS), np.ones(S.WEIGHTS)))
+    got = S.corrections(spark.createDataFrame(rows, "token string, held long, other long, held_d long"), weights)
+    assert {r["token"]: r["right"] for r in got.collect()} == pairs
+
+
+def test_operations_equal_the_listed_ones():
+    for word in ("rn0dem", "c1ean", "vva11", "b|t", "tldfect", "riiie", "1iig"):
+        for text, ops in S.variants(word).items():
+            if text != word:
+                assert S.skeleton(text) == S.skeleton(word) and len(S.operations(word, text)) == len(ops)
+    assert S.operations("clean", "clean") is None and S.operations("clean", "clear") is None
