@@ -10,10 +10,8 @@ A Gray-order hierarchical index over bit fingerprints, after the HA-index of Tan
   differences to those shared bits from the top and drops a whole group when they exceed what the likeness allows; what reaches a leaf is a candidate.
 * Candidates are verified on the exact n-gram sets.
 
-Upper nodes that are too full (counted in a table of fixed size) are dealt to blocks, and each pair of blocks is a task's group of its own. Dealing writes
-a record once for each block, so beyond MOST_PARTS blocks a node gets lower nodes by further cells instead, SPLITS times SPLIT of them: what a third of all
-records share is some text, and most of them differ in the rest. A pair of likeness 0.6 in such a node shares a lower one in 1 - (1 - 0.6**4)**48 = 99.9 %
-of all cases. Lower nodes that are still too full hold records that are alike in earnest and are dealt to blocks, however many these are.
+Upper nodes that are too full (counted in a table of fixed size, by the hashes of the nodes) are dealt to blocks, and each pair of blocks is a task's group
+of its own, so all pairs of a node are compared, however full it is. Dealing writes a record once for each block; beyond MOST_PARTS blocks these grow instead.
 """
 
 from __future__ import annotations
@@ -32,10 +30,10 @@ from .tables import cut, prune, read, spread
 CELLS, VIEWS, BAND, BITS, FAN = 96, 16, 3, 2, 8
 #: Room for the estimate, in standard deviations.
 ROOM = 2.5
-#: Records of an upper node that one group compares; fuller nodes are dealt to blocks of about this size.
-NODE = 2048
-#: Lower nodes of a full node: so many, each of so many cells.
-SPLITS, SPLIT, MOST_PARTS = 48, 4, 48
+#: Records of an upper node that one group compares; fuller nodes are dealt to blocks of about this size, of nodes with more than MOST_PARTS to so many larger ones.
+NODE, MOST_PARTS = 2048, 48
+#: Pairs of a query and a node that a search looks at together.
+LOOKS = 1 << 21
 NODE_BUCKETS = 1 << 18
 #: Classes of equal texts up to this size are written as pairs of all their rows; of larger ones each row is paired with the least row only (membership).
 EXPAND = 50
@@ -138,8 +136,9 @@ class Levels:
         found_q, found_l = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if not len(self.levels[0][0]):
             return found_q[0], found_l[0]
-        for a in range(0, len(query), 4096):
-            part = query[a : a + 4096]
+        step = max(16, min(4096, LOOKS // len(self.levels[0][0])))
+        for a in range(0, len(query), step):
+            part = query[a : a + step]
             n = len(self.levels[top][0])
             q, node = np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part))
             for level in range(top, -1, -1):
@@ -155,48 +154,19 @@ class Levels:
         return np.concatenate(found_q), np.concatenate(found_l)
 
 
-def full_of(rows: DataFrame, usual: float | None = None) -> DataFrame:
-    """(bucket, parts) of the node buckets that hold too many rows; at most NODE_BUCKETS rows. usual: an average bucket; by default that of the rows."""
+def full_of(rows: DataFrame) -> DataFrame:
+    """(bucket, parts) of the node buckets that hold too many rows; at most NODE_BUCKETS rows."""
     counts = cut(rows.groupBy("bucket").count())
-    usual = counts.agg(F.avg("count")).first()[0] or 0 if usual is None else usual
-    return counts.where(F.col("count") > 2 * usual + NODE).select("bucket", F.ceil(F.col("count") / NODE).cast("int").alias("parts"))
-
-
-def lower_nodes(rows: DataFrame) -> DataFrame:
-    """Rows (_class, _print, node, _cells) of full nodes once for each of their lower nodes."""
-    order = np.random.default_rng(17)
-    groups = np.stack([order.permutation(CELLS)[:SPLIT] for _ in range(SPLITS)])
-
-    def split(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            cells = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(n, CELLS).astype(np.uint64)
-            node = batch.column(2).to_numpy().view(np.uint64)
-            out = np.empty((n, SPLITS), np.uint64)
-            for g, some in enumerate(groups):
-                pattern = np.zeros(n, np.uint64)
-                for c in some:
-                    pattern = (pattern << np.uint64(16)) | cells[:, c]
-                out[:, g] = gray_rank(P.mix(P.mix(node + np.uint64(g)) ^ pattern))
-            at = pa.array(np.repeat(np.arange(n), SPLITS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out.view(np.int64).ravel())], ["_class", "_print", "node"])
-
-    return rows.select("_class", "_print", "node", "_cells").mapInArrow(split, "_class long, _print binary, node long")
+    usual = counts.agg(F.avg("count")).first()[0] or 0
+    return counts.where(F.col("count") > 2 * usual + NODE).select("bucket", F.least(F.ceil(F.col("count") / NODE), F.lit(MOST_PARTS)).cast("int").alias("parts"))
 
 
 def candidates(df: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes in one node with at most limit differing cells. df: _class, _nodes array<long>, _print binary, _cells binary."""
-    rows = df.select("_class", "_print", "_cells", F.explode("_nodes").alias("node"))
-    bucket = F.pmod("node", F.lit(NODE_BUCKETS)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    full = full_of(rows)
-    rows = rows.join(F.broadcast(full), "bucket", "left")
-    usual = rows.where(F.coalesce("parts", F.lit(0)) <= MOST_PARTS).select("_class", "_print", "node", "parts")
-    lower = lower_nodes(rows.where(F.col("parts") > MOST_PARTS)).withColumn("bucket", bucket)
-    lower = lower.join(F.broadcast(full_of(lower, 0.0)), "bucket", "left").select("_class", "_print", "node", "parts")
-    rows = usual.union(lower)
+    """Pairs (a, b), a < b, of classes in one node with at most limit differing cells. df: _class, _nodes array<long>, _print binary."""
+    rows = df.select("_class", "_print", F.explode("_nodes").alias("node"))
+    # the low bits of a node are those of its last cell alone, so they are mixed
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(NODE_BUCKETS)).cast("int"))
+    rows = rows.join(F.broadcast(full_of(rows)), "bucket", "left").select("_class", "_print", "node", "parts")
     own = F.pmod(F.xxhash64("_class"), F.col("parts")).cast("int")
     at = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -302,13 +272,11 @@ class Near:
                         continue
                     views = nodes.shape[1]
                     lists = pa.ListArray.from_arrays(np.arange(0, views * (len(keep) + 1), views, dtype=np.int32), pa.array(nodes[keep].ravel()))
-                    # 16 bits of a cell tell full nodes' records apart
-                    packed = [binary(words[keep]), binary((cells[keep] >> np.uint64(48)).astype(np.uint16))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep + a)), pa.array(text_hash[keep]), lists, *packed], ["_id", "_class", "_nodes", "_print", "_cells"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep + a)), pa.array(text_hash[keep]), lists, binary(words[keep])], ["_id", "_class", "_nodes", "_print"])
 
-        indexed = cut(rows.mapInArrow(index, "_id long, _class long, _nodes array<long>, _print binary, _cells binary"))
+        indexed = cut(rows.mapInArrow(index, "_id long, _class long, _nodes array<long>, _print binary"))
         self.members = indexed.select("_id", "_class").distinct()
-        pairs = cut(candidates(indexed.select("_class", "_nodes", "_print", "_cells").dropDuplicates(["_class"]), limit))
+        pairs = cut(candidates(indexed.select("_class", "_nodes", "_print").dropDuplicates(["_class"]), limit))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
         few = prune(indexed.select("_id", "_class"), wanted, "_class").join(wanted, "_class", "left_semi").groupBy("_class").agg(F.min("_id").alias("_id"))
         few = cut(few)

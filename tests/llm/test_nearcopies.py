@@ -113,3 +113,13 @@ def test_common_text_does_not_hide_pairs(spark, prose, monkeypatch):
         data += [(2 * i, common + own), (2 * i + 1, common + own[:590] + f"zz{i:04d}zz")]
     got = {tuple(r) for r in N.near_texts(spark.createDataFrame(data, "segment_row_id long, content string")).pairs().collect()}
     assert {(2 * i, 2 * i + 1) for i in range(60)} <= got
+
+
+def test_all_pairs_of_a_full_node_are_compared(spark, monkeypatch):
+    """Records of one node that agree in no further cell."""
+    monkeypatch.setattr(N, "NODE", 2)
+    monkeypatch.setattr(N, "MOST_PARTS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, [7 if i < 20 else 1000 + i], bytes(24), rng.bytes(192)) for i in range(200)]
+    df = spark.createDataFrame(rows, "_class long, _nodes array<long>, _print binary, _cells binary")
+    assert {tuple(r) for r in N.candidates(df, 5).collect()} == {(i, j) for i in range(20) for j in range(i + 1, 20)}
